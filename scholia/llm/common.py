@@ -24,11 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Codec for tables of hashes and ids, which hardly compress; its buffers are small where a stage writes many files.
+NARROW = "snappy"
+
+
+def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes `df` to the shared folder and reads it back: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +44,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     are ignored.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = written(e, label), None
+    e, seen = written(e, label, NARROW), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -48,7 +52,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         hung = e.join(least, "u")
         e = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(e.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
+        e = written(e.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label, NARROW)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             break

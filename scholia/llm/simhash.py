@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import NARROW, components, table, written
 
 #: What a candidate costs against a probe.
 CANDIDATE = 2.0
@@ -157,12 +157,12 @@ def links(classes: DataFrame, radius: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id reachable over linked fingerprints."""
-    rows = written(fingerprints(docs), "simhash-rows")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    groups = written(components(links(classes, radius), "simhash-links").withColumnsRenamed({"node": "fp"}), "simhash-groups")
+    rows = written(fingerprints(docs), "simhash-rows", NARROW)
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes", NARROW)
+    groups = written(components(links(classes, radius), "simhash-links").withColumnsRenamed({"node": "fp"}), "simhash-groups", NARROW)
     lead = classes.join(groups, "fp").groupBy("component").agg(F.min("first").alias("lead"))
     named = groups.join(lead, "component").select("fp", "lead")
-    named = written(classes.join(named, "fp", "left").select("fp", F.coalesce("lead", "first").alias("component_id")), "simhash-named")
+    named = written(classes.join(named, "fp", "left").select("fp", F.coalesce("lead", "first").alias("component_id")), "simhash-named", NARROW)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
