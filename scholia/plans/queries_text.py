@@ -28,11 +28,11 @@ def text_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate_ellipsis(c, 600).alias("cut"), T.peek(c, 80).alias("peek"), T.excerpt(c).alias("excerpt"), T.node_title(label, c, F.lit("section")).alias("title"), T.fallback_label(c, F.lit("section")).alias("fallback_label"))
 
 
-@query(f"SELECT doc_id, {_NORM('substr(text, 1, 400)')} AS normal, regexp_replace(lower({STRIP('substr(text, 1, 30)')}), '[^\\p{{L}}\\p{{N}}_\\s]+', '', 'g') AS token, array_to_string(list_sort({_WORDS('text')}), ' ') AS content FROM documents")
+@query(f"SELECT doc_id, {_NORM('text')} AS normal, regexp_replace(lower({STRIP('text')}), '[^\\p{{L}}\\p{{N}}_\\s]+', '', 'g') AS token, array_to_string(list_sort({_WORDS('text')}), ' ') AS content FROM documents")
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms and content words."""
-    head = lambda n: F.substring("text", 1, n)
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(head(400)).alias("normal"), T.normalize_token(head(30)).alias("token"), F.array_join(F.array_sort(T.content_words(F.col("text"))), " ").alias("content"))
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(c).alias("normal"), T.normalize_token(c).alias("token"), F.array_join(F.array_sort(T.content_words(c)), " ").alias("content"))
 
 
 @query(f"""WITH s AS (SELECT conv_id AS session, turn AS seg, text, {_WORDS('text')} AS w FROM conversations), p AS (SELECT *, lag(w) OVER (PARTITION BY session ORDER BY seg) AS b FROM s

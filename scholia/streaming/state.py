@@ -1,7 +1,6 @@
 """Turns as a stream: per-concept state kept by Structured Streaming, and the trace log as an append-only sink.
 
-The reference handles turns one by one; the watermark and what happens to late turns are additions: a turn later than
-the watermark is dropped by the aggregation's state only, and still reaches the log.
+The watermark decides what happens to late turns: a turn later than it is dropped by the aggregation's state only, and still reaches the log.
 """
 
 from __future__ import annotations
