@@ -155,3 +155,10 @@ def locator_fallback(summary: Column, excerpt_: Column, filename: Column) -> Col
     snippet = F.when(F.length(flat) > 60, F.concat(F.substring(flat, 1, 60), F.lit("…"))).otherwise(flat)
     quoted = F.when(flat != "", F.concat(F.lit('the paragraph starting with "'), snippet, F.lit('"')))
     return F.when(summary != "(unknown location)", summary).otherwise(F.coalesce(quoted, F.nullif(stripped(filename), F.lit("")), F.lit("the document")))
+
+
+def word_at(c: Column, offset: Column) -> Column:
+    """The run without white space around an offset; null where there is none."""
+    left = F.regexp_extract(F.substr(c, F.lit(1), offset), r"[^\s]+\z", 0)
+    right = F.regexp_extract(F.substr(c, offset + 1), r"^[^\s]*", 0)
+    return F.nullif(F.concat(left, right), F.lit(""))

@@ -117,3 +117,25 @@ def session_summary(turns: DataFrame) -> DataFrame:
         mean = F.avg(score)
         out += [F.round(mean, 6).alias(f"{dim}_avg"), F.when(mean >= 1.5, "good").when(mean >= 0.75, "partial").when(mean.isNotNull(), "weak").alias(dim)]
     return turns.groupBy("session").agg(*out, F.count_if(F.col("correct")).alias("closed_correct"), F.count("correct").alias("closed_total"))
+
+
+def spoken(responses: DataFrame, segments: DataFrame, computed: DataFrame) -> DataFrame:
+    """responses(id, modality, response, transcript, features) with what was said, features and error.
+
+    An audio response without a transcript takes its segments(id, seg, text) joined by spaces, without any an error;
+    one without features takes the computed(id, features), else `{}`. Texts stay as they are.
+    """
+    text = segments.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda s: s["text"]), " ").alias("_text"))
+    rows = responses.join(text, "id", "left").join(computed.withColumnRenamed("features", "_features"), "id", "left")
+    audio = F.col("modality") == "audio"
+    given = F.nullif("transcript", F.lit(""))
+    said = F.when(audio, F.coalesce(given, stripped(F.col("_text")))).otherwise(F.col("response"))
+    features = F.when(audio, F.coalesce(F.nullif("features", F.lit("")), "_features", F.lit("{}")))
+    error = F.when(audio & given.isNull() & F.col("_text").isNull(), "no transcript")
+    return rows.select("id", said.alias("said"), features.alias("features"), error.alias("error"))
+
+
+def judged_open(turns: DataFrame, judgments: DataFrame) -> DataFrame:
+    """`turns` with the external judgment(id, c, k, e) of each; there's no fallback, so a missing or odd one is an error."""
+    rows = turns.join(judgments, "id", "left")
+    return rows.withColumn("error", F.when(~valid_open(F.col("c"), F.col("k"), F.col("e")), "no valid judgment"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_fences, stripped
+from ..sources.blocks import batches
 
 #: An item as generated; every field may be missing.
 ITEM = "struct<front:string,back:string,question:string,options:array<string>,correct_index:string,expected_answer:string,key_points:array<string>>"
@@ -74,3 +75,35 @@ def bridged(items: DataFrame) -> DataFrame:
     """Quiz items as assessment items: the type's name, and a node id even where the source has none."""
     kind = F.when(F.col("item_type") == "f", "flashcard").when(F.col("item_type") == "mcq", "mcq").when(F.col("item_type") == "qa", "open")
     return items.withColumn("assessment_type", kind).withColumn("node_id", F.coalesce("node_id", F.concat(F.lit("merged:"), F.col("item_id"))))
+
+
+def answered(responses: DataFrame, quizzes: DataFrame) -> DataFrame:
+    """responses(material_id, quiz_id, item_index) with the item each answers, or the error that there's none.
+
+    quizzes(material_id, id, artifact_type, items): other artifacts and those of other materials don't count.
+    """
+    q = quizzes.where("artifact_type = 'quiz'").select("material_id", F.col("id").alias("quiz_id"), "items", F.lit(True).alias("_found"))
+    rows = responses.join(q, ["material_id", "quiz_id"], "left")
+    inside = F.coalesce((F.col("item_index") >= 0) & (F.col("item_index") < F.size("items")), F.lit(False))
+    rows = rows.withColumn("error", F.when(F.col("_found").isNull(), "no quiz").when(~inside, "no item"))
+    return rows.withColumn("item", F.when(inside, F.get("items", F.col("item_index")))).drop("items", "_found")
+
+
+def gate(kind: Column, node: Column, options: Column, correct: Column, expected: Column) -> Column:
+    """Why an item can't be evaluated; null if it can."""
+    closed = F.coalesce((F.size(options) > 0) & (correct < F.size(options)), F.lit(False))
+    return F.when(text(node) == "", "no node id").when((kind == "mcq") & ~closed, "no options or correct index").when((kind == "flashcard") & (F.coalesce(expected, F.lit("")) == ""), "no expected answer")
+
+
+def label_requests(sections: DataFrame, language: Column, size: int = 12) -> DataFrame:
+    """doc_id, batch, prompt: a request for titles for each `size` consecutive sections(doc_id, ord, kind, text)."""
+    rows = batches(sections, "doc_id", "ord", size).withColumn("_language", language)
+    each = F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind", "text"))), lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text")))
+    rows = rows.groupBy("doc_id", "batch", "_language").agg(F.to_json(each).alias("_json"))
+    return rows.select("doc_id", "batch", F.concat(F.lit("Titles in "), "_language", F.lit(", one for each section, as a JSON array in the same order.\n\n"), "_json").alias("prompt"))
+
+
+def judge_request(source: Column, question: Column, expected: Column, points: Column, response: Column, features: Column) -> Column:
+    """What a judge of an open answer is told; key points and features only where there are any."""
+    part = lambda name, c: F.concat(F.lit(name), c)
+    return F.concat_ws("\n\n", part("Source:\n", source), part("Question: ", question), part("Outline of the answer, not to be shown: ", expected), F.when(F.size(points) > 0, part("Key aspects: ", F.to_json(points))), part("Answer:\n", response), F.when(features != "", part("Speech: ", features)))

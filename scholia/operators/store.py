@@ -38,3 +38,8 @@ def upload_path(group: Column, subject: Column, name: Column) -> Column:
 def absent(rows: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
     """Rows to seed: those not present yet."""
     return rows.join(present, on, "left_anti")
+
+
+def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a primary key, by a filter that the scan takes; none if it's missing."""
+    return rows.where(F.col(key) == value).limit(1)

@@ -203,3 +203,21 @@ def members(ranges: DataFrame, items: DataFrame) -> DataFrame:
     """Items of each range: an interval join within the document."""
     r = ranges.select(F.col("doc_id").alias("d"), "lo", "hi")
     return items.join(r, (F.col("doc_id") == F.col("d")) & F.col("ord").between(F.col("lo"), F.col("hi"))).drop("d")
+
+
+def children(nodes: DataFrame) -> DataFrame:
+    """Each node that has a parent, with the parent's kind and label."""
+    parents = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"), F.col("label").alias("parent_label"))
+    return nodes.select("doc_id", "node_id", "parent_id", "child_ord").join(parents, ["doc_id", "parent_id"])
+
+
+def current_heading(views: DataFrame, headings: DataFrame, margin: int = 80) -> DataFrame:
+    """Each of views(doc_id, view_id, y) with the last of headings(doc_id, heading_id, top) down to y + margin, or the first.
+
+    A heading holds from its top to the next one's, so that each view meets one range of its document.
+    """
+    w = Window.partitionBy("doc_id").orderBy("top", "heading_id")
+    spans = headings.select("doc_id", "heading_id", F.when(F.row_number().over(w) > 1, F.col("top")).alias("lo"), F.lead("top").over(w).alias("hi"))
+    at = F.col("y") + margin
+    inside = (F.col("lo").isNull() | (at >= F.col("lo"))) & (F.col("hi").isNull() | (at < F.col("hi")))
+    return views.join(spans.withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & inside).select("doc_id", "view_id", "heading_id")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -31,3 +33,9 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
     return spark
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder (`spark.checkpoint.dir`; a local folder where that is unset, as in tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -101,3 +101,11 @@ def fallback_chunks(rows: DataFrame, key: str, order: str, most: int) -> DataFra
     w = Window.partitionBy(key)
     n, rn = F.count("*").over(w), F.row_number().over(w.orderBy(order))
     return rows.withColumn("chunk", F.when(n <= most, F.lit(0)).otherwise(F.floor((rn - 1) / F.greatest(F.lit(1), F.floor(n / most)))))
+
+
+def utterances(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of transcripts' segments(doc_id, seg, start, end, text) with their times, and documents without speech."""
+    rows = segments.withColumn("text", F.coalesce(stripped(F.col("text")), F.lit("")))
+    blocks = rows.where("text <> ''").select("doc_id", F.col("seg").alias("ord"), F.lit("utterance").alias("kind"), "text", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    silent = rows.groupBy("doc_id").agg(F.max("text").alias("most")).where("most = ''").select("doc_id", F.lit("no speech").alias("error"))
+    return blocks, silent

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import excerpt, stripped
+
 HEADER = "doc_id string, source struct<type:string,filename:string,language:string>, metadata struct<generated_at:string,agent_version:string,warnings:array<string>>, tree string"
 
 
-def read_indexes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Valid index documents below the path, and the files that aren't (path, warning)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+def read_indexes(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Valid index documents below the path, and what isn't one (file, warning): a document a file, or a line."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_name").alias("file"), "value")
     rows = raw.withColumn("x", F.from_json("value", HEADER))
     good = F.coalesce(F.col("x.doc_id").isNotNull() & F.col("x.tree").isNotNull(), F.lit(False))
     return rows.where(good).select("file", "x.*"), rows.where(~good).select("file", F.lit("not an index document").alias("warning"))
@@ -33,3 +35,12 @@ def nested(nodes: DataFrame, levels: int) -> DataFrame:
 def write_indexes(indexes: DataFrame, path: str) -> None:
     """One JSON line for each index document."""
     indexes.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def text_or_index(path: Column, value: Column, node: Column) -> tuple[Column, Column, Column]:
+    """kind (text, index or null), excerpt and error of a quiz's source file: texts need content, indexes a node id."""
+    extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    kind = F.when(extension.isin("txt", "md", "markdown"), "text").when(extension == "json", "index")
+    blank = F.coalesce(stripped(value), F.lit("")) == ""
+    error = F.when(kind.isNull(), "unsupported extension").when((kind == "text") & blank, "empty text").when((kind == "index") & (F.coalesce(node, F.lit("")) == ""), "no node id")
+    return kind, F.when((kind == "text") & ~blank, excerpt(stripped(value))), error

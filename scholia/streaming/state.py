@@ -45,3 +45,9 @@ def turn_rates(turns: DataFrame, late: str = "10 minutes", width: str = "1 hour"
 def trace_sink(events: DataFrame, path: str, checkpoint: str):
     """Writes trace events as JSON below one folder for each session, exactly once for each micro-batch."""
     return events.writeStream.format("json").partitionBy("session").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def save_sessions(state: DataFrame, path: str) -> DataFrame:
+    """Overwrites the saved state of all sessions with JSON lines, and reads it back."""
+    state.write.mode("overwrite").json(path)
+    return state.sparkSession.read.schema(state.schema).json(path)

@@ -9,6 +9,7 @@ from scholia.operators import tree
 from scholia.plans.relations import nodes, turns
 from scholia.sources import blocks as B
 from scholia.sources import documents
+from scholia.sources import slides as S_
 from scholia.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,45 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = {(r.id, r.attempt, r.second) for r in E.attempts(rows).select("id", "attempt", "second").collect()}
     assert {(r.id, r.attempt, r.second) for r in spark.table("attempts_out").collect()} == want
+
+
+def deck(*slides):
+    """A small deck: each slide is (title, [(text, bulleted)])."""
+    import io
+    import zipfile
+
+    a, p, r = (f'xmlns:{k}="{v[1:-1]}"' for k, v in (("a", S_.A), ("p", S_.P), ("r", S_.R)))
+    paragraph = lambda t, b: f'<a:p><a:pPr lvl="1">{"<a:buChar/>" if b else ""}</a:pPr><a:r><a:t>{t}</a:t></a:r></a:p>'
+    shape = lambda mark, body: f"<p:sp><p:nvSpPr><p:nvPr>{mark}</p:nvPr></p:nvSpPr><p:txBody>{body}</p:txBody></p:sp>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("ppt/presentation.xml", f"<p:presentation {p} {r}>" + "".join(f'<p:sldId r:id="r{i}"/>' for i in range(len(slides))) + "</p:presentation>")
+        z.writestr("ppt/_rels/presentation.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="slides/s{i}.xml"/>' for i in range(len(slides))) + "</Relationships>")
+        for i, (title, body) in enumerate(slides):
+            shapes = shape("", "".join(paragraph(*x) for x in body)) + shape('<p:ph type="title"/>', paragraph(title, False))
+            z.writestr(f"ppt/slides/s{i}.xml", f"<p:sld {a} {p}><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:sld>")
+    return out.getvalue()
+
+
+def test_decks(spark, tmp_path):
+    (tmp_path / "a.pptx").write_bytes(deck(("One", [("x", True), (" ", True)]), ("", [("y", False)])))
+    (tmp_path / "b.pptx").write_bytes(deck((" ", [])))
+    (tmp_path / "c.pptx").write_bytes(b"no deck")
+    got = sorted(S_.read_decks(spark, str(tmp_path)).drop("path").collect(), key=str)
+    blocks = [tuple(r)[:5] for r in got if r.error is None]
+    assert sorted(blocks) == [(0, 1, "slide_title", 0, "One"), (1, 1, "bullet", 1, "x"), (2, 2, "body", 1, "y")]
+    assert sorted(r.error for r in got if r.error) == ["broken deck: BadZipFile", "no text"]
+
+
+def test_word_at_borders(spark):
+    rows = spark.createDataFrame([("ab cd", 0), ("ab cd", 2), ("ab  cd", 3), ("ab\n", 3), (None, 1), ("", 0)], "s string, n int")
+    assert [r[0] for r in rows.select(T.word_at(F.col("s"), F.col("n"))).collect()] == ["ab", "ab", None, None, None, None]
+
+
+def test_trace_sink(spark, tmp_path):
+    rows = turns(spark, SF).select("session", "id", "ts")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).where("session < 20")
+    for _ in range(2):
+        state.trace_sink(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "out")).count() == rows.where("session < 20").count()
