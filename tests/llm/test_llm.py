@@ -87,6 +87,15 @@ def test_passages_found_and_removed(spark):
     assert {r.doc_id for r in passages.passages(odd(spark)).collect()} == {6}
 
 
+@pytest.mark.parametrize("gap", [30, 60, 100, 500, 2000])
+def test_two_passages_of_one_pair(spark, gap):
+    n = max(52, gap)  # words of each passage: enough that the chain joins them over the gap, too few to agree with it
+    p, q = words(n, 40), words(n, 41)
+    docs = documents(spark, " ".join([p, words(gap, 42), q]), " ".join([p, words(gap, 43), q]), words(90, 44))
+    found = sorted((r.start_word, r.n_words) for r in passages.passages(docs).collect() if (r.doc_id, r.other_doc_id) == (1, 0))
+    assert len(found) == 2 and all(abs(a - b) <= 3 for got, want in zip(found, [(0, n), (n + gap, n)]) for a, b in zip(got, want))
+
+
 def test_leaks_found(spark):
     items = [(i, words(30, 100 + i) + ". " + words(6, 200 + i) + ".") for i in range(5)] + [(9, None), (None, "x")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
