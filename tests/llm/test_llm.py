@@ -96,6 +96,13 @@ def test_two_passages_of_one_pair(spark, gap):
     assert len(found) == 2 and all(abs(a - b) <= 3 for got, want in zip(found, [(0, n), (n + gap, n)]) for a, b in zip(got, want))
 
 
+def test_passage_of_one_line_again_and_again(spark):
+    line = " ".join([words(12, 50)] * 100)
+    docs = documents(spark, words(300, 51) + " " + line + " " + words(300, 52), words(150, 53) + " " + line + " " + words(200, 54))
+    (found,) = passages.passages(docs).collect()
+    assert abs(found.start_word - 150) <= 3 and abs(found.n_words - 1200) <= 6 and abs(found.other_start - 300) <= 3
+
+
 def test_leaks_found(spark):
     items = [(i, words(30, 100 + i) + ". " + words(6, 200 + i) + ".") for i in range(5)] + [(9, None), (None, "x")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
