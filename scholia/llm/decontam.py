@@ -31,8 +31,8 @@ from .words import Words, lcs, mix, scan
 
 TERMS, SKETCH, RANK = 1 << 13, 128, 96
 BLOCK = 8
-#: Terms in more than one of so many passages say nothing.
-COMMON = 20
+#: Added to each term's inverse passage frequency, so that no term's weight is zero.
+FLOOR = 0.1
 #: Words of a benchmark segment at most; longer items are searched in several.
 SEGMENT = 64
 #: Windows compared at a time.
@@ -82,7 +82,7 @@ def sketched(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 def latent(sketch: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     """For each term its inverse passage frequency times its place in the latent space, TERMS x RANK."""
     idf = np.log((n + 1) / (df + 1))
-    weight = np.maximum(idf - np.log(COMMON), 0) if n > 100 * COMMON else idf + 0.1
+    weight = idf + FLOOR
     _, values, right = np.linalg.svd(sketch * weight, full_matrices=False)
     scale = np.where(values > 1e-9, values[0] / np.maximum(values, 1e-9), 0)[:RANK]
     return (weight[:, None] * (right[:RANK] * scale[:, None]).T).astype(np.float32)

@@ -113,6 +113,18 @@ def test_leaks_found(spark):
     assert decontam.leaks(odd(spark), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_frequent_words(spark):
+    """Over 2000 passages; the items have only words that stand in more than one passage of 20."""
+    own, frequent = random.Random(60), words(10, 60).split()
+    texts = [[own.choice(frequent) if own.random() < 0.2 else w for w in words(48, 1000 + i).split()] for i in range(500)]
+    items = [(i, " ".join(own.choice(frequent) for _ in range(24))) for i in range(20)]
+    for i, text in items:
+        texts[10 * i][i : i] = text.split()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.leaks(documents(spark, *map(" ".join, texts)), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.lcs == 1} == {(10 * i, i) for i in range(20)}
+
+
 def test_classifier_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
