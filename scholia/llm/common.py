@@ -40,8 +40,8 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 PARTS = 64
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], keys: DataFrame, by: list[str], least: int = 10_000) -> DataFrame:
-    """Inner join of two tables of which `big` may have much of its rows in few keys.
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], keys: DataFrame, by: list[str], how: str = "inner", least: int = 10_000) -> DataFrame:
+    """Inner or left join of two tables of which `big` may have much of its rows in few keys.
 
     Keys with over a PARTS-th of the rows of `keys` (big's rows, or a written table with the same keys) and over `least` are
     dealt out by a hash of big's columns `by`, and small's rows of these keys repeated; there are fewer than PARTS such keys.
@@ -50,12 +50,12 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], keys: DataFrame
     total = keys.count()
     hot = [r for r in often.where(F.col("_n") > max(total // PARTS, least)).drop("_n").collect()] if total > least else []
     if not hot:
-        return big.join(small, on)
+        return big.join(small, on, how)
     hot = F.broadcast(big.sparkSession.createDataFrame(hot, keys.select(*on).schema).withColumn("_hot", F.lit(True)))
     salted = big.join(hot, on, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(PARTS))).otherwise(0).cast("int")).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = small.join(hot, on, "left").withColumn("_part", F.explode(every)).drop("_hot")
-    return salted.join(repeated, [*on, "_part"]).drop("_part")
+    return salted.join(repeated, [*on, "_part"], how).drop("_part")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -12,6 +12,12 @@ latter from the Poisson-binomial distribution of the differing bits. Every disti
 bits in each partition; the larger of two fingerprints probes all values within t_i there, and the candidates are
 verified by their whole distance in the join. Equal fingerprints are one class, so groups of copies aren't expanded.
 
+Groups by content (`similar`, `keep_one`) take fingerprints over each text's distinct words instead, which stay near where shingles
+of five words are shared, at a wider radius; and a candidate pair is a link if the sets of five-word shingles agree by 0.8 (Jaccard)
+or more. Texts of equal words are one class. So that a large group of near copies isn't expanded, each class first meets the first
+one, in a random order, of the buckets that it probes, twice in other orders; after that only candidates of different components are
+verified, all of them.
+
 Null texts are empty. Rows without a doc_id are left out. A doc_id that repeats gives a row for each of its rows. Empty tables give
 no rows. Texts of any length count whole; columns other than doc_id and text aren't read.
 """
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NARROW, components, table, written
+from .common import NARROW, components, spread_join, table, written
 
+#: Classes of texts that are sent to all tasks at most.
+FEW = 20_000
 #: What a candidate costs against a probe.
 CANDIDATE = 2.0
 
@@ -40,7 +49,11 @@ def fingerprint(text: str | None) -> int:
         return 0
     digest, glue = xxhash.xxh64_intdigest, b" ".join
     shingles = zip(words, words[1:], words[2:]) if len(words) >= 3 else [words]
-    values = np.fromiter((digest(glue(s), 42) for s in shingles), np.uint64)
+    return majority(np.fromiter((digest(glue(s), 42) for s in shingles), np.uint64))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half of the values."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 14):
         some = values[at : at + (1 << 14)]
@@ -110,7 +123,7 @@ def allocate(n: int, both: np.ndarray, radius: int = 3) -> list[tuple[list[int],
             for b in part:  # Poisson-binomial distribution of the differing bits, up to the radius
                 reach[1:] = reach[1:] * (1 - differ[b]) + reach[:-1] * differ[b]
                 reach[0] *= 1 - differ[b]
-            probes = np.cumsum([len(list(combinations(range(len(part)), t))) for t in range(radius + 1)])
+            probes = np.cumsum([comb(len(part), t) for t in range(radius + 1)])
             cost.append([0.0, *(n * (1.0 + probes) + CANDIDATE * n * n / 2 * np.cumsum(reach))])
         # table[s]: least cost of the parts so far whose thresholds, each raised by one, add up to s
         total = radius - m + 1 + m
@@ -127,23 +140,21 @@ def allocate(n: int, both: np.ndarray, radius: int = 3) -> list[tuple[list[int],
     return best[1]
 
 
-def keys(classes: DataFrame, plan: list[tuple[list[int], int]], probe: bool) -> DataFrame:
-    """part, key, fp: where each fingerprint is filed, or with `probe` where it looks."""
+def keys(classes: DataFrame, plan: list[tuple[list[int], int]], probe: bool, also: list[str] = []) -> DataFrame:
+    """part, key, fp and the columns `also` (longs): where each fingerprint is filed, or with `probe` where it looks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                fp = np.asarray(batch.column("fp").slice(at, 2000))
+                rows = batch.slice(at, 2000)
+                fp = np.asarray(rows.column("fp"))
                 for k, (part, t) in enumerate(plan):
-                    mask = np.int64(np.array(sum(1 << b for b in part), np.uint64).view(np.int64))
-                    own = fp & mask
-                    flips = [np.int64(0)]
-                    if probe:
-                        flips = [np.array(sum(1 << b for b in some), np.uint64).view(np.int64)[()] for d in range(t + 1) for some in combinations(part, d)]
-                    for flip in flips:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int8)), pa.array(own ^ flip), pa.array(fp)], ["part", "key", "fp"])
+                    own = fp & np.int64(np.array(sum(1 << b for b in part), np.uint64).view(np.int64))
+                    for some in (s for d in range(t + 1 if probe else 1) for s in combinations(part, d)):
+                        flip = np.array(sum(1 << b for b in some), np.uint64).view(np.int64)[()]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int8)), pa.array(own ^ flip), *rows.columns], ["part", "key", *rows.schema.names])
 
-    return classes.select("fp").mapInArrow(run, "part byte, key long, fp long")
+    return classes.select("fp", *also).mapInArrow(run, "part byte, key long, fp long" + "".join(f", {c} long" for c in also))
 
 
 def links(classes: DataFrame, radius: int = 3) -> DataFrame:
@@ -166,13 +177,107 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """`docs` with one row of each group: that of the smallest doc_id (rows without a doc_id stay)."""
+def profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (over the distinct words) and t (hash of all words in order) of every row with a doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, whole = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            for i, text in enumerate(batch.column("text")):
+                words = (text.as_py() or "").encode().lower().split()
+                whole[i] = xxhash.xxh64_intdigest(b" ".join(words), 7)
+                if words:
+                    fp[i] = majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "fp", "t"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, t long")
+
+
+def shingled(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """fp, t and the sorted hashes of the shingles of `classes(fp, t, first)`, from the text of the document `first`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, keep = [], []
+            for text, t in zip(batch.column("text"), batch.column("t").to_pylist()):
+                words = (text.as_py() or "").encode().lower().split()
+                keep.append(int(np.array(t, np.int64).view(np.uint64)) == xxhash.xxh64_intdigest(b" ".join(words), 7))
+                some = (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 5) >> 32 for x in some), np.uint32)).tobytes() if keep[-1] else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("t"), pa.array(out, pa.binary())], ["fp", "t", "shingles"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = written(classes, "simhash-wanted", NARROW)
+    few = wanted.limit(FEW + 1).count() <= FEW
+    texts = docs.select(F.col("doc_id").alias("first"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(wanted) if few else wanted, "first").select("fp", "t", "text")
+    return found.mapInArrow(run, "fp long, t long, shingles binary").dropDuplicates(["fp", "t"])
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, least: float) -> DataFrame:
+    """The `pairs(fp, t, ofp, ot)` of classes whose sets of shingles agree by `least` or more."""
+    pairs = written(pairs, "simhash-pairs", NARROW)
+    ends = pairs.select("fp", "t").unionByName(pairs.select(F.col("ofp").alias("fp"), F.col("ot").alias("t"))).distinct()
+    sets = written(shingled(docs, classes.join(ends, ["fp", "t"]).select("fp", "t", "first"), size), "simhash-shingles", NARROW)
+    others = sets.withColumnsRenamed({"fp": "ofp", "t": "ot", "shingles": "others"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("shingles"), batch.column("others")):
+                a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared >= least * (len(a) + len(b) - shared))
+            yield batch.select(["fp", "t", "ofp", "ot"]).filter(pa.array(keep, pa.bool_()))
+
+    both = spread_join(pairs.join(sets, ["fp", "t"]), others, ["ofp", "ot"], pairs, ["fp", "t"])
+    return written(both.select("fp", "t", "ofp", "ot", "shingles", "others").mapInArrow(run, "fp long, t long, ofp long, ot long"), "simhash-verified", NARROW)
+
+
+def node(fp: str, t: str) -> F.Column:
+    """A class as one value."""
+    return F.concat(F.hex(F.col(fp)), F.lit(":"), F.hex(F.col(t)))
+
+
+def similar(docs: DataFrame, radius: int = 8, size: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
+    """doc_id and lead of every row with a doc_id: the smallest doc_id of its group of texts linked by their shingles."""
+    rows = written(profiles(docs), "simhash-profiles", NARROW)
+    classes = written(rows.groupBy("fp", "t").agg(F.min("doc_id").alias("first")), "simhash-texts", NARROW)
+    plan = allocate(*together(classes), radius)
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius) & ((F.col("fp") != F.col("ofp")) | (F.col("t") != F.col("ot")))
+    looks = written(keys(classes, plan, True, ["t"]), "simhash-looks", NARROW)
+    links = None
+    for k in range(rounds):
+        order = F.xxhash64("fp", "t", F.lit(k))
+        first = keys(classes, plan, False, ["t"]).groupBy("part", "key").agg(F.min(F.struct(order.alias("order"), F.col("fp").alias("ofp"), F.col("t").alias("ot"))).alias("x"))
+        met = spread_join(looks, first, ["part", "key"], looks, ["fp", "t"]).select("fp", "t", "x.*").where(near)
+        best = met.groupBy("fp", "t").agg(F.min(F.struct("order", "ofp", "ot")).alias("x")).select("fp", "t", "x.ofp", "x.ot")
+        found = verified(docs, classes, best, size, least)
+        links = found if links is None else links.unionByName(found)
+    edges = lambda links: links.select(node("fp", "t").alias("a"), node("ofp", "ot").alias("b"))
+    groups = components(edges(links), "simhash-stars").withColumn("c", F.xxhash64("component"))
+    known = written(classes.withColumn("node", node("fp", "t")).join(groups, "node", "left").select("fp", "t", F.coalesce("c", F.xxhash64("node")).alias("c")), "simhash-known", NARROW)
+    filed = keys(known, plan, False, ["t", "c"]).withColumnsRenamed({"fp": "ofp", "t": "ot", "c": "oc"})
+    ordered = (F.col("c") > F.col("oc")) & near
+    probes = keys(known, plan, True, ["t", "c"])
+    rest = spread_join(probes, filed, ["part", "key"], looks, ["fp", "t"]).where(ordered)
+    # both orders are looked at by both sides, so one is enough
+    links = links.unionByName(verified(docs, classes, rest.select("fp", "t", "ofp", "ot").distinct(), size, least))
+    groups = components(edges(links), "simhash-links")
+    named = classes.withColumn("node", node("fp", "t")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lead = named.groupBy("component").agg(F.min("first").alias("lead"))
+    named = written(spread_join(written(named.select("fp", "t", "component"), "simhash-classed", NARROW), lead, ["component"], named.select("component"), ["fp", "t"]).select("fp", "t", "lead"), "simhash-leads", NARROW)
+    return spread_join(rows, named, ["fp", "t"], rows, ["doc_id"]).select("doc_id", "lead")
+
+
+def keep_one(docs: DataFrame, radius: int = 8, size: int = 5, least: float = 0.8) -> DataFrame:
+    """`docs` with one document of each group of `similar` texts: that of the smallest doc_id.
+
+    Rows without a doc_id stay; rows of one doc_id stay or go together, and go only if each has an earlier one in its group.
+    """
     own = docs.columns
-    found = near_duplicates(docs, radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    once = docs.join(gone, "doc_id", "left_anti").select(own)
-    return once
+    found = similar(docs, radius, size, least).groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("lead")).alias("later"))
+    return docs.join(found.where("later").select("doc_id"), "doc_id", "left_anti").select(own)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """WARC archives with revisit records for payloads that repeat.
 
-Headers (page_id, payload digest and size) are grouped by digest; of equal payloads the smallest page_id keeps its
-response record, and the others become revisit records that refer to it, without a payload. Archives are written by
-Spark's text writer, whose line separator is the blank line that ends a WARC record, one gzip file for each task and
-at most `per_file` records; so they go to any store that Spark writes to. Reading takes the archives as binary files and
-follows each record's Content-Length; revisit records are joined to the responses they refer to.
-
-Null payloads are empty. Rows without a page_id are left out, and a page_id that repeats with the same payload counts
-once (with different ones, the smallest payload digest stays). Payloads smaller than `least` are always responses.
-Empty tables give an archive without records and no rows. Other columns aren't read.
+Every row gives one record. Headers (page, url and payload digest, with the number of equal rows) are grouped by digest; of
+equal payloads the row with the smallest page_id keeps its response record, and the others become revisit records that refer to it.
+Only responses meet their payload again. A digest, or a row, that a large part of all rows repeats is dealt out in parts.
+
+Archives are written by Spark's text writer, so they go to any store that Spark writes to: each line is a gzip member that holds
+one record, and the line separator is an empty gzip member. They are read by the text reader, line by line, so files of any
+size are split and streamed; a task holds one record of them at a time. Revisit records are joined to the responses they refer to.
+
+Null payloads and urls are empty; line breaks in urls go. Rows without a page_id are written too, after those with one in order. Equal rows are
+one response, or a revisit each. Payloads smaller than `least` are always responses. Payloads of any length count whole. Empty tables
+give an archive without records and no rows. Columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -23,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import PARTS, shared_dir, spread_join, table, written
 
 #: The date in the fresh headers, and the profile of revisits to an identical payload (fixed values).
 DATE = "2025-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
-HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: An empty gzip member. No payload holds it, as it isn't UTF-8.
+SEPARATOR = bytes.fromhex("1f8b08000000000000ff03000000000000000000").decode("latin-1")
+KEY = ["page", "url", "sha1"]
+#: Revisits of equal rows that one task writes.
+SPAN = 10_000
 
 
 def digest(payload: bytes) -> str:
@@ -37,99 +44,100 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def base32(hex_digits: str) -> F.Column:
-    """The base32 form of a column of 40 hex digits: ten of them are eight letters."""
-    parts = (F.lpad(F.conv(F.substring(hex_digits, k, 10), 16, 32), 8, "0") for k in range(1, 41, 10))
-    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-
 def payloads(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null: empty) and the payload's sha1 in hex."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.where("page_id is not null").select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"))
-    return rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    """page_id, page (as a text), url, html and the payload's sha1 in hex of every row."""
+    html, url = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("html", "url"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(url, r"[\r\n]", "").alias("url"), html.alias("html"))
+    return rows.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
 
 
 def headers(pages: DataFrame) -> DataFrame:
-    """page_id, sha1, payload_digest and payload_bytes of each page."""
-    rows = payloads(pages).select("page_id", F.struct("sha1", F.octet_length("html").cast("long").alias("payload_bytes")).alias("x"))
-    return rows.groupBy("page_id").agg(F.min("x").alias("x")).select("page_id", "x.*").withColumn("payload_digest", base32("sha1"))
+    """page_id, page, url, sha1, payload_bytes and rows: how many equal rows there are."""
+    rows = payloads(pages).withColumn("payload_bytes", F.octet_length("html").cast("long")).drop("html")
+    return rows.groupBy("page_id", *KEY, "payload_bytes").agg(F.count("*").alias("rows"))
 
 
 def resolved(heads: DataFrame, least: int = 0) -> DataFrame:
-    """`heads` with refers_to: the page whose response a revisit refers to, null for responses."""
-    first = heads.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = heads.join(first, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= least) & (F.col("first") < F.col("page_id"))
-    return found.select("page_id", "sha1", "payload_digest", "payload_bytes", F.when(again, F.col("first")).alias("refers_to"))
-
-
-def record_id(page) -> F.Column:
-    """A record's id, from its page's."""
-    return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
-
-
-def records(pages: DataFrame, heads: DataFrame) -> DataFrame:
-    """One column, `value`: each page's record without the blank line that ends it."""
-    row = payloads(pages).join(heads, ["page_id", "sha1"]).dropDuplicates(["page_id", "sha1"]).withColumn("again", F.col("refers_to").isNotNull())
-    length = F.lit(len(HTTP)) + F.when(F.col("again"), 0).otherwise(F.octet_length("html"))
-    lines = [
-        F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"))),
-        F.lit(f"WARC-Date: {DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), "payload_digest"),
-        F.when(F.col("again"), F.lit(f"WARC-Profile: {PROFILE}")),
-        F.when(F.col("again"), F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to")))),
-        F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), length.cast("string")),
-    ]
-    return row.select(F.concat(F.concat_ws("\r\n", *lines), F.lit(END + HTTP), F.when(F.col("again"), "").otherwise(F.col("html"))).alias("value"))
-
-
-def write(pages: DataFrame, heads: DataFrame, path: str, per_file: int = 2000) -> None:
-    """Writes the pages' archives to the folder."""
-    records(pages, heads).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """`heads` (a written table) with the page and url of the response, `to_page` and `to_url`, and how many responses and revisits there are."""
+    lead = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "page")).alias("lead")
+    found = spread_join(heads, heads.groupBy("sha1").agg(lead), ["sha1"], heads, ["page", "url"])
+    own = (F.col("page") == F.col("lead.page")) & (F.col("url") == F.col("lead.url"))
+    responses = F.when(F.col("payload_bytes") < least, F.col("rows")).otherwise(own.cast("long"))
+    return found.select(*heads.columns, F.col("lead.page").alias("to_page"), F.col("lead.url").alias("to_url"), responses.alias("responses"), (F.col("rows") - responses).alias("revisits"))
+
+
+def with_payload(pages: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of `heads` with responses, each once, with their html."""
+    rows = payloads(pages).select(*KEY, "html")
+    wanted = heads.where("responses > 0")
+    found = rows.join(wanted.where("rows = 1"), KEY)
+    if wanted.where("rows > 1").isEmpty():
+        return found
+    parts = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("_part")
+    again = wanted.where("rows > 1").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return found.unionByName(rows.select("*", parts).join(again, [*KEY, "_part"]).dropDuplicates(KEY).drop("_part"))
+
+
+def record_id(page: str, url: str, sha1: str, number: int) -> str:
+    """A record's id: the page, and what tells its records apart."""
+    return f"<urn:page:{page}:{hashlib.sha1(url.encode()).hexdigest()}:{sha1}:{number}>"
+
+
+def member(page: str, url: str, sha1: str, number: int, again: bool, html: str, to_page: str, to_url: str, date: str) -> bytes:
+    """The gzip member of one record."""
+    block = HTTP + (b"" if again else html.encode())
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: {record_id(page, url, sha1, number)}", f"WARC-Date: {date}"]
+    lines += [f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}"]
+    if again:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(to_page, to_url, sha1, 1)}", f"WARC-Refers-To-Target-URI: {to_url}", f"WARC-Refers-To-Date: {date}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress((("\r\n".join(lines)) + END).encode() + block + END.encode()) + pack.flush()
+
+
+def write(pages: DataFrame, heads: DataFrame, path: str, date: str = DATE, per_file: int = 100_000) -> None:
+    """Writes the archives of the pages, whose headers are resolved, to the folder."""
+    lean = [*KEY, "to_page", "to_url"]
+    responses = with_payload(pages, heads).select(*lean, "html", F.lit(False).alias("again"), F.explode(F.sequence(F.lit(1), F.col("responses"))).alias("number"))
+    # a row that repeats very often is dealt out in spans of SPAN records
+    spans = heads.where("revisits > 0").select(*lean, "rows", F.explode(F.sequence(F.col("responses") + 1, F.col("rows"), F.lit(SPAN))).alias("from"))
+    if not heads.where(F.col("revisits") > SPAN).isEmpty():
+        spans = spans.repartition(PARTS, *KEY, "from")
+    number = F.explode(F.sequence("from", F.least(F.col("from") + SPAN - 1, "rows"))).alias("number")
+    revisits = spans.select(*lean, F.lit("").alias("html"), F.lit(True).alias("again"), number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                rows = batch.slice(at, 100).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([member(date=date, **r) for r in rows], pa.binary())], ["value"])
+
+    found = responses.unionByName(revisits).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    found.write.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """kind, page_id, url, payload_digest (as its header says), refers_to and payload of each record below the folder."""
+    """kind, record, page_id, url, payload_digest (as its header says), target (the record a revisit refers to) and payload of each record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "record", "page_id", "url", "payload_digest", "target", "payload"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
-            for raw in batch.column("content"):
-                out: list[tuple] = []
-                size = 0
-                for found in parsed(zlib.decompress(raw.as_py(), 47)):
-                    out.append(found)
-                    size += len(found[5])
-                    if size > 4_000_000:
-                        yield rows(out)
-                        out, size = [], 0
-                yield rows(out)
-
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        names = ["kind", "page_id", "url", "payload_digest", "refers_to", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(6)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "kind string, page_id long, url string, payload_digest string, refers_to long, payload binary")
-
-
-def parsed(data: bytes) -> Iterator[tuple]:
-    """Records of one archive, in order."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        begin = end + 4
-        at = begin + int(head["Content-Length"])
-        block = data[begin:at]
-        at += 4
-        page = lambda name: int(head[name][len("<urn:page:") : -1]) if name in head else None
-        yield head["WARC-Type"], page("WARC-Record-ID"), head["WARC-Target-URI"], head["WARC-Payload-Digest"].removeprefix("sha1:"), page("WARC-Refers-To"), block[block.index(b"\r\n\r\n") + 4 :]
+            for at in range(0, batch.num_rows, 100):
+                rows = [parsed(zlib.decompress(x.as_py(), 31)) for x in batch.column("value").slice(at, 100)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names)
+
+    lines = spark.read.option("lineSep", SEPARATOR).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("value"))
+    return lines.mapInArrow(run, "kind string, record string, page_id long, url string, payload_digest string, target string, payload binary")
+
+
+def parsed(data: bytes) -> tuple:
+    """The fields of one record."""
+    end = data.index(END.encode())
+    head = dict(line.split(": ", 1) for line in data[:end].decode().split("\r\n")[1:])
+    block = data[end + 4 : end + 4 + int(head["Content-Length"])]
+    page = head["WARC-Record-ID"].split(":")[2]
+    return head["WARC-Type"], head["WARC-Record-ID"], int(page) if page else None, head["WARC-Target-URI"], head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("WARC-Refers-To"), block[block.index(END.encode()) + 4 :]
 
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -139,20 +147,22 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     of the payload in the archive; a revisit has the digest of its header and the size of the response it refers to.
     """
     spark = pages.sparkSession
-    pages = pages.where("page_id is not null")
-    heads = written(resolved(headers(pages), least), "warc-headers")
+    heads = written(resolved(written(headers(pages), "warc-headers"), least), "warc-resolved")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, heads, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = [(digest(p), len(p)) if k == "response" else (d, None) for k, p, d in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), batch.column("payload_digest").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("kind"), batch.column("refers_to"), pa.array([x[0] for x in new], pa.string()), pa.array([x[1] for x in new], pa.int64())], ["page_id", "record_type", "refers_to", "payload_digest", "size"])
-
-    back = written(read(spark, path).mapInArrow(run, "page_id long, record_type string, refers_to long, payload_digest string, size long"), "warc-records")
-    target = back.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("size").alias("target_size"))
-    needed = target.join(back.where("record_type = 'revisit'").select("refers_to").distinct(), "refers_to", "left_semi")
-    return back.join(needed, "refers_to", "left").select("page_id", F.coalesce("size", "target_size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+            columns = [batch.column(c) for c in ("record", "page_id", "kind", "target")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in new], pa.string()), pa.array([x[1] for x in new], pa.int64())], ["record", "page_id", "record_type", "target", "payload_digest", "payload_bytes"])
+
+    back = written(read(spark, path).mapInArrow(run, "record string, page_id long, record_type string, target string, payload_digest string, payload_bytes long"), "warc-records")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    responses = back.where("record_type = 'response'")
+    revisits = back.where("record_type = 'revisit'").drop("payload_bytes")
+    first = responses.select(F.col("record").alias("target"), F.col("page_id").alias("refers_to"), "payload_bytes")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*out).unionByName(spread_join(revisits, first, ["target"], revisits, ["record"]).select(*out))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

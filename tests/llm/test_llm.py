@@ -150,12 +150,39 @@ def test_quality_against_brute_force(spark):
 
 
 def test_warc_revisits(spark):
-    pages = spark.createDataFrame([(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "<p>é\r\n\r\n</p>"), (None, "u", "z"), (5, "u", "<p>é\r\n\r\n</p>")], "page_id long, url string, html string")
-    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(pages).collect()}
-    assert got == {1: (4, "response", None), 2: (4, "revisit", 1), 3: (0, "response", None), 4: (0, "revisit", 3), 5: (len("<p>é\r\n\r\n</p>".encode()), "response", None)}
+    from collections import Counter
+
+    long = "<p>é\r\n\r\n</p>" * 5000
+    rows = [(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", long), (None, "u", "z"), (5, "u", long), (7, "q", "aaa"), (7, "q", "bbb"), (8, "q", "bbb"), (None, "v", "z"), (9, "v", "z")]
+    rows = [(*r, "x", i) for i, r in enumerate(rows + [(10, "w", "often")] * 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string, page int")
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(pages).collect())
+    n = len(long.encode())
+    want = [(1, 4, "response", None), (2, 4, "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, n, "response", None), (5, n, "revisit", 5)]
+    want += [(None, 1, "revisit", 9)] * 2 + [(9, 1, "response", None), (7, 3, "response", None), (7, 3, "response", None), (8, 3, "revisit", 7), (10, 5, "response", None)] + [(10, 5, "revisit", 10)] * 39
+    assert got == Counter(want)
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_files_are_gzip_members(spark, tmp_path):
+    import gzip
+    import zlib
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "é<p>" * (i % 7)) for i in range(60)], "page_id long, url string, html string")
+    heads = warc.resolved(warc.written(warc.headers(pages), "t"))
+    warc.write(pages, heads, str(tmp_path / "w"), per_file=25)
+    seen = 0
+    for file in (tmp_path / "w").glob("part-*"):
+        data = file.read_bytes()
+        assert len(data) == 0 or gzip.decompress(data).startswith(b"WARC/1.1\r\n")
+        while data:  # each record in a member of its own
+            one = zlib.decompressobj(31)
+            record, data = one.decompress(data), one.unused_data
+            seen += record.count(b"WARC/1.1\r\n")
+            assert record == b"" or record.count(b"WARC/1.1\r\n") == 1 and record.endswith(b"\r\n\r\n")
+    assert seen == 60
+
+
 def test_chat_snapshots(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, None, None, None), (4, None, None, None), (None, 0, "user", "z")]
     got = chat.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -164,10 +191,27 @@ def test_chat_snapshots(spark):
 
 def test_url_rules(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.com/en/x?q"), (2, "https://www.example.com/en/"), (3, "x.net/es/"), (4, None), (5, "http://b.net/es/1"), (6, "http://notcom/")], "page_id long, url string")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(pages, labels).collect()}
+    pages = pages.withColumn("html", F.lit(None).cast("string")).withColumn("n", F.lit(1))
+    pages = pages.unionByName(pages.where("page_id = 6"))
+    docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = urls.judged(pages, docs, labels).collect()
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found}
+    assert len(found) == 7
     assert got[1] == ("a.example.com", "/en/x", "example.com/en/", "block") and got[2][2:] == ("www.example.com/en/", "allow")
     assert got[3] == ("", "", None, "allow") == got[4] and got[5][2:] == ("net/es/", "block") and got[6][2] is None
+    assert urls.judged(pages.limit(0), docs, labels).count() == 0
+
+
+def test_url_templates_of_bad_branches(spark):
+    docs = spark.createDataFrame([(i, "bad evil spam words" if i % 2 else "good nice clean words") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    deep = [(f"/a/b/c/d/e/{branch}/{i}", text) for i in range(60) for branch, text in (("casino", "evil spam"), ("news", "nice good"), ("sport", "nice clean"))]
+    slugs = [(f"/u/slug{chr(97 + i % 26)}{chr(97 + i // 26)}", "nice good") for i in range(300)] + [(f"/u/spam/{i}", "evil bad") for i in range(60)]
+    rows = [(k, f"http://h.example.org{path}", f"<p>{text}</p>") for k, (path, text) in enumerate(deep + slugs + [("/" + "/".join("x" * 60), "nice")])]
+    found = urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), docs, labels, []).collect()
+    for r in found:
+        assert (r.verdict == "block") == ("casino" in r.path or "/spam/" in r.path)
+    assert {r.template for r in found if r.path.startswith("/u/")} == {"/u/*", "/u/spam/*"}
 
 
 def test_pipeline(spark):
