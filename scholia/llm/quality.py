@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -125,9 +125,17 @@ def measure(docs: DataFrame, vocabulary_path: str | None = None, least_words: in
 
 
 def bands(measured: DataFrame, width: float = 4.0) -> DataFrame:
-    """For each language the limits of each measure, from the quartiles of the texts that pass the base rules."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in BANDS]
-    rows = measured.where(~F.col("base_failed")).groupBy("lang").agg(*quartiles)
+    """For each language the limits of each measure, from the quartiles of the texts that pass the base rules.
+
+    A quartile is the least value, of those to four decimals, that has its share of the texts at or below it: counted exactly.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.round(m, 4).alias("v")) for m in BANDS]))
+    counts = measured.where(~F.col("base_failed")).select("lang", values.alias("x")).groupBy("lang", "x.m", "x.v").agg(F.count("*").alias("n"))
+    each = Window.partitionBy("lang", "m")
+    below = F.sum("n").over(each.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.select("lang", "m", "v", below.alias("below"), F.sum("n").over(each).alias("all"))
+    at = lambda m, share: F.min(F.when((F.col("m") == m) & (F.col("below") >= share * F.col("all")), F.col("v")))
+    rows = counts.groupBy("lang").agg(*[F.array(at(m, 0.25), at(m, 0.75)).alias(m) for m in BANDS])
     limits = []
     for m, (low, high, least) in BANDS.items():
         reach = width * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(least))

@@ -2,7 +2,7 @@
 
 Evidence. Two logistic models, for low quality and for toxic texts, over hashed words (present or not) and a few
 dense measures of the text; fitted on at most `sample` labelled documents (those of the smallest hashes of doc_id).
-Words enter a model only if their counts by class differ clearly, so that chance words of long texts don't add up.
+Words enter a model only if their counts by class differ clearly, so that chance words of long texts don't add up, and at most `MOST` of them.
 
 Sites. A document's host and path are columns (by default `source` and `lang`). Its evidence, the probability that it
 is good, is summed for each path and host by grouped aggregation. A host's posterior mean is shrunk towards the
@@ -26,11 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import NARROW, table, written
 from .words import SPACE, buffers, scan
 
 #: Hashed word features.
 BUCKETS = 1 << 18
+#: Sites, or rejected rows, that are sent to all tasks at most.
+FEW = 200_000
+#: Words that enter a model at most (those whose counts by class differ most).
+MOST = 2000
 #: Labelled documents that a fit takes at most.
 SAMPLE = 20_000
 DENSE = ["log_words", "symbol_share", "bar_share", "repeat_share", "distinct_share", "word_length", "capital_share", "digit_share"]
@@ -89,7 +93,7 @@ class Logistic:
         return self.bias + z @ self.dense + np.bincount(text[use], weights=self.words[bucket[use]], minlength=len(dense))
 
 
-def fit(dense: np.ndarray, text: np.ndarray, bucket: np.ndarray, y: np.ndarray, most: int = 2000, rounds: int = 300) -> Logistic:
+def fit(dense: np.ndarray, text: np.ndarray, bucket: np.ndarray, y: np.ndarray, most: int = MOST, rounds: int = 300) -> Logistic:
     """A logistic model by gradient descent with momentum, on the words whose presence differs by over 4.5 deviations."""
     n, good = len(y), int(y.sum())
     mean, sd = (dense.mean(0), np.maximum(dense.std(0), 1e-6)) if n else (np.zeros(len(DENSE)), np.ones(len(DENSE)))
@@ -146,21 +150,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     return {"low": fit(dense, text, bucket, low), "toxic": fit(dense, text, bucket, toxic)}
 
 
-def scored(docs: DataFrame, models: dict[str, Logistic], prefix: str = "") -> DataFrame:
-    """`docs` with `p_low` and `p_toxic` (names after `prefix`): the models' probabilities."""
-    names = [f"{prefix}p_low", f"{prefix}p_toxic"]
-    docs = docs.drop(*names)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+def scored(docs: DataFrame, models: dict[str, Logistic]) -> DataFrame:
+    """`docs` without its text, with `p_low` and `p_toxic`, the models' probabilities, and the text's hash `_text`."""
+    names = ["p_low", "p_toxic"]
+    own = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*own, F.xxhash64("text").alias("_text"), F.col("text").cast("string").alias("text"))
+    kept = [*own, "_text"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((2, 0))]
-            for dense, text, bucket in features(batch.column("text").cast(pa.string())):
+            for dense, text, bucket in features(batch.column("text")):
                 found.append(np.stack([1 / (1 + np.exp(-np.clip(models[k].logit(dense, text, bucket), -30, 30))) for k in ("low", "toxic")]))
             p = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[0]), pa.array(p[1])], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p[0]), pa.array(p[1])], [*kept, *names])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def sites(evidence: DataFrame) -> tuple[DataFrame, float]:
@@ -181,21 +187,38 @@ def sites(evidence: DataFrame) -> tuple[DataFrame, float]:
 
 
 def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", site_weight: float = 0.25, sample: int = SAMPLE) -> DataFrame:
-    """`docs` with p_low, p_toxic, host_mean, path_mean, p_good and kept (columns of these names are replaced)."""
+    """`docs` without its text, with p_low, p_toxic, host_mean, path_mean, p_good and kept (columns of these names are replaced).
+
+    Texts are scored once, into a written table of narrow rows; `_text` there is the text's hash.
+    """
     models = train(docs, labels, sample)
-    added = ["p_low", "p_toxic", "host_mean", "path_mean", "p_good", "kept"]
-    docs = docs.drop(*added)
+    added = ["p_low", "p_toxic", "host_mean", "path_mean", "p_good", "kept", "_text", "_host", "_path"]
     key = lambda c: F.col(c).cast("string")
+    rows = docs.drop(*added).withColumn("_host", key(host)).withColumn("_path", key(path))
+    rows = written(scored(rows, models), "site-evidence", NARROW)
     good = (1 - F.col("p_low")) * (1 - F.col("p_toxic"))
-    lean = scored(docs.select(key(host).alias("host"), key(path).alias("path"), F.col("text").cast("string").alias("text")), models)
-    posterior, mean = sites(lean.select("host", "path", good.alias("good")))
+    posterior, mean = sites(rows.select(F.col("_host").alias("host"), F.col("_path").alias("path"), good.alias("good")))
     posterior = posterior.withColumnsRenamed({"host": "_site_host", "path": "_site_path"})
-    rows = scored(docs, models).join(posterior, key(host).eqNullSafe(F.col("_site_host")) & key(path).eqNullSafe(F.col("_site_path")), "left")
+    # a path with much of all rows is one row of the posterior: sent to all tasks if there are few
+    few = posterior.limit(FEW + 1).count() <= FEW
+    rows = rows.join(F.broadcast(posterior) if few else posterior, F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path")), "left")
     odds = lambda p: F.log(p / (1 - p))
     p = F.least(F.greatest(good, F.lit(1e-6)), F.lit(1 - 1e-6))
     total = odds(p) + site_weight * (odds(F.coalesce("path_mean", F.lit(mean))) - float(np.log(mean / (1 - mean))))
     rows = rows.withColumn("p_good", 1 / (1 + F.exp(-total)))
-    return rows.withColumn("kept", F.col("p_good") >= 0.5).drop("_site_host", "_site_path")
+    return rows.withColumn("kept", F.col("p_good") >= 0.5).drop("_site_host", "_site_path", "_host", "_path")
+
+
+def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """`docs` without the rows that `classified` rejects; equal texts of one doc_id, host and path are judged alike."""
+    keys = ["doc_id", host, path]
+    gone = classified(docs, labels, host, path).where("not kept").select(*[F.col(c).alias(f"_gone{i}") for i, c in enumerate(keys)], F.col("_text").alias("_gone_text")).distinct()
+    gone = written(gone, "site-rejected", NARROW)
+    few = gone.limit(FEW + 1).count() <= FEW
+    same = F.xxhash64("text") == F.col("_gone_text")
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"_gone{i}"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 def op3_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

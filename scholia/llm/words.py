@@ -104,7 +104,7 @@ def _scan(data: np.ndarray, offsets: np.ndarray, first: int, breaks: np.ndarray)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    text = np.searchsorted(offsets, starts, side="right") - 1
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     return Words(first, len(offsets) - 1, hashes, text + first, starts - offsets[text], ends - offsets[text], data, offsets)
 
 
