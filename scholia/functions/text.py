@@ -2,17 +2,49 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and the letters they stand on.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 # Words without content, Italian then English.
 STOPWORDS_IT = "il la i le un una è e di a da in con su per tra fra che non mi ti si ci vi loro del della dei delle al alla ai alle sul sulla quel quello quella questo questa questi queste ma o se perché perche come essere avere ha sono era stato stata".split()
 STOPWORDS_EN = "the a an is are was were be been being of to in on at with by for from and or but if not this that these those i you he she it we they what when where why how do does did".split()
 
 
+#: Ranges whose compatibility decompositions aren't taken: Hangul syllables, and CJK compatibility ideographs.
+KEPT = [(0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xD800, 0xDFFF)]
+
+
+@lru_cache(maxsize=1)
+def decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters of the basic plane whose decomposition (NFKD, without combining marks) is one other character, or several or none."""
+    one, more = {}, {}
+    for code in range(0x80, 0x10000):
+        if any(lo <= code <= hi for lo, hi in KEPT):
+            continue
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c:
+            (one if len(plain) == 1 else more)[c] = plain
+    return one, more
+
+
+def unaccented(c: Column) -> Column:
+    """Decomposed by compatibility (NFKD) and without combining marks, in the basic plane but for `KEPT`."""
+    one, more = decompositions()
+    plain = F.translate(c, "".join(one), "".join(one.values()))
+    gone = "".join(x for x, y in more.items() if not y)
+    several = {x: y for x, y in more.items() if y}
+    plain = F.translate(plain, gone, "")
+    table = F.str_to_map(F.lit("\x02".join(f"{x}\x01{y}" for x, y in several.items())), F.lit("\x02"), F.lit("\x01"))
+    each = F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    # texts without such characters pass by
+    some = F.length(F.translate(plain, "".join(several), "")) < F.length(plain)
+    return F.when(some, F.array_join(each, "")).otherwise(plain)
+
+
 def stripped(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -42,8 +74,8 @@ def node_title(label: Column, text: Column, kind: Column, n: int = 60) -> Column
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower case without accents and punctuation, single spaces (Latin letters)."""
-    plain = F.translate(F.lower(stripped(c)), ACCENTED, PLAIN)
+    """Lower case without accents and punctuation, single spaces."""
+    plain = unaccented(F.lower(stripped(c)))
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s]+", " "), r"\s+", " "))
 
 

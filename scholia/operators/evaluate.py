@@ -100,6 +100,29 @@ def attempts(turns: DataFrame) -> DataFrame:
     return rows.withColumn("status", status(F.col("intervention")))
 
 
+def evaluated(turns: DataFrame) -> DataFrame:
+    """Turns of all item types, judged, routed and counted in one plan.
+
+    turns(session, node, ts, id, kind, response, options, correct, expected, fuzzy, c, k, e): closed items (mcq) are judged by
+    option, flashcards by equality or an external score, open ones by the external judgment. A turn without a valid
+    judgment, or of another kind, has an error; it isn't an attempt.
+    """
+    kind = F.col("kind")
+    option, _ = judged_closed(F.col("response"), F.col("options"), F.col("correct"))
+    card, _, _ = judged_flashcard(F.col("response"), F.col("expected"), F.col("fuzzy"))
+    triple = [F.col(x) for x in "cke"]
+    error = F.when(~F.coalesce(kind.isin("mcq", "flashcard", "open"), F.lit(False)), "unknown assessment type").when((kind == "open") & ~valid_open(*triple), "no valid judgment")
+    passed = F.when(kind == "mcq", option).when(kind == "flashcard", card).otherwise(all_positive(*triple))
+    rows = turns.withColumn("error", error).withColumn("_passed", F.when(F.col("error").isNull(), passed)).withColumn("correct", F.when(kind != "open", F.col("_passed")))
+    w = Window.partitionBy("session", "node").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum((~F.col("_passed")).cast("long")).over(w), F.lit(0))
+    rows = rows.withColumn("_before", before)
+    second = F.col("_before") >= 1
+    intervention = F.when(F.col("error").isNull(), F.when(kind == "open", route_open(*triple, second)).otherwise(route_closed(F.col("_passed"), second)))
+    rows = rows.withColumn("intervention", intervention)
+    return rows.select("session", "node", "ts", "id", "kind", "correct", "error", F.when(F.col("error").isNull(), F.col("_before") + 1).alias("attempt"), "intervention", F.when(F.col("error").isNull(), status(F.col("intervention"))).alias("status"))
+
+
 def concept_state(evaluated: DataFrame) -> DataFrame:
     """For each session and node: attempts, failed attempts, last status and the interventions in order."""
     order = F.array_sort(F.collect_list(F.struct("ts", "id", "intervention")))

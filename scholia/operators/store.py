@@ -43,3 +43,13 @@ def absent(rows: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
 def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
     """The row of a primary key, by a filter that the scan takes; none if it's missing."""
     return rows.where(F.col(key) == value).limit(1)
+
+
+def of_types(artifacts: DataFrame, wanted: list[str]) -> DataFrame:
+    """Artifacts whose type is one of those wanted."""
+    return artifacts.where(F.col("artifact_type").isin(wanted))
+
+
+def newest_first(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """`rows` with their place within the key, the newest first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), tie)).cast("long"))

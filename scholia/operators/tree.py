@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import format_level, stripped
+from ..session import stored
+from ..sources.blocks import fallback_chunks
 
 
 def markdown_tree(blocks: DataFrame, levels: int = 3) -> DataFrame:
@@ -29,7 +31,7 @@ def markdown_tree(blocks: DataFrame, levels: int = 3) -> DataFrame:
         open_.append(F.when((F.col(f"h{k}") > above) & below, F.col(f"h{k}")))
     rows = rows.withColumn("path", F.filter(F.array(*open_), lambda x: x.isNotNull()))
     rows = rows.withColumn("parent", F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(-1).cast("long")))
-    head = rows.where("level > 0").select("doc_id", F.col("ord").alias("node"), "parent", F.col("level").cast("int").alias("level"), F.element_at(F.array(F.lit("chapter"), F.lit("section"), F.lit("subsection")), F.col("level").cast("int")).alias("kind"), "text", "lo", "hi", "path")
+    head = rows.where("level > 0").select("doc_id", F.col("ord").alias("node"), "parent", F.col("level").cast("int").alias("level"), F.element_at(F.array(F.lit("chapter"), F.lit("section"), F.lit("subsection")), F.least(F.col("level"), F.lit(3)).cast("int")).alias("kind"), "text", "lo", "hi", "path")
     body = rows.where("level = 0").groupBy("doc_id", "parent", "path").agg(F.min("ord").alias("node"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "\n").alias("text"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return head.unionByName(body.select("doc_id", "node", "parent", (F.size("path") + 1).cast("int").alias("level"), F.lit("paragraph").alias("kind"), "text", "lo", "hi", "path"))
 
@@ -117,6 +119,29 @@ def flattened(nodes: DataFrame, most: int = 4) -> DataFrame:
     return kept.select("doc_id", "node_id", F.when(deep, F.get("path", F.lit(most))).otherwise(F.col("parent_id")).alias("parent_id"), F.least(depth, F.lit(most + 1)).cast("int").alias("level"))
 
 
+def rehung(kept: DataFrame) -> DataFrame:
+    """`kept(doc_id, node_id, kind, label, text, path)` with the parents and levels that the paths say."""
+    up = F.size("path") - 1
+    return kept.select("doc_id", "node_id", F.when(up > 0, F.element_at("path", F.greatest(up, F.lit(1)))).alias("parent_id"), up.cast("int").alias("level"), "kind", "label", "text", "path")
+
+
+def decided_depth(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """Trees with single-child chains collapsed, levels anew, and flattened to `most` where deeper; `warning` says so."""
+    gone = nodes.join(collapsed(nodes).select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti").select("doc_id", F.col("node_id").alias("up"))
+    steps = nodes.join(gone.withColumnRenamed("up", "node_id"), ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id", "kind", "label", "text", F.posexplode("path").alias("at", "up"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("at", "up"))), lambda x: x["up"])
+    short = steps.join(gone, ["doc_id", "up"], "left_anti").groupBy("doc_id", "node_id", "kind", "label", "text").agg(path.alias("path"))
+    depth = short.groupBy("doc_id").agg((F.max(F.size("path")) - 1).alias("depth"))
+    rows = short.join(depth, "doc_id")
+    deep, inner = F.size("path") - 1 > most, F.col("kind") != "paragraph"
+    cut = F.when(deep, F.concat(F.slice("path", 1, most + 1), F.array("node_id"))).otherwise(F.col("path"))
+    # a leaf below the deepest level hangs there; an inner node there goes
+    flat = rows.where(~(deep & inner)).withColumn("path", cut)
+    said = F.format_string("natural depth %s exceeded max (%s); flattened", "depth", F.lit(most))
+    warned = depth.where(F.col("depth") > most).select("doc_id", said.alias("warning"))
+    return rehung(flat).join(warned, "doc_id", "left")
+
+
 def undominated(selection: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the selected nodes, once each, those without a selected ancestor."""
     picked = selection.select("doc_id", "node_id").distinct()
@@ -142,11 +167,20 @@ def references(nodes: DataFrame) -> DataFrame:
     return good.select(F.concat("doc_id", F.lit("::"), "node_id").alias("ref_id"), "doc_id", "node_id", "kind", "label", "parent_label", "sort_key")
 
 
+def ranked(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """`rows` with their rank from 1 on: counted within ranges of the order, and added to the counts of the ranges before."""
+    # the rows have to stay where they are between the two uses
+    dealt = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).persist()
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_size"))  # a row for each partition
+    start = counts.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return dealt.withColumn("_within", within).join(F.broadcast(start), "_part").withColumn(name, F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
+
+
 def aggregate_fallback(refs: DataFrame) -> DataFrame:
     """References grouped by source: node_id agg_i_j in order of the sources' first reference, and the category's label."""
     first = refs.groupBy("source_filename").agg(F.min("ord").alias("first"), F.count("*").alias("n_refs"))
-    # one row for each source: the only window that isn't partitioned
-    ranks = first.select("source_filename", "first", "n_refs", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first")).alias("i"))
+    ranks = ranked(first, "first", "i")
     rows = refs.join(ranks, "source_filename").withColumn("j", F.row_number().over(Window.partitionBy("source_filename").orderBy("ord")))
     return rows.select(F.concat(F.lit("agg_"), "i", F.lit("_"), "j").alias("node_id"), F.regexp_replace("source_filename", r"\.[^.]*$", "").alias("category"), "ref_id", "n_refs")
 
@@ -168,8 +202,10 @@ def next_prefix(ids: DataFrame) -> Column | int:
 def merged(old: DataFrame, new: DataFrame, label: str) -> DataFrame:
     """node_id, parent_id, level, kind, label of the old tree with the new one's nodes, prefixed, under a chapter of its own."""
     prefix = f"s{next_prefix(old)}_"
-    root = old.where("parent_id is null").select("node_id").first().node_id
-    top = new.where("parent_id is null").select("node_id").first().node_id
+    tops = [rows.where("parent_id is null").select("node_id").first() for rows in (old, new)]
+    if None in tops:
+        raise ValueError("a tree without a root can't be merged")
+    root, top = (t.node_id for t in tops)
     same = old.select("node_id", "parent_id", "level", "kind", "label")
     rest = new.where("parent_id is not null").select(F.concat(F.lit(prefix), "node_id").alias("node_id"), F.when(F.col("parent_id") == top, F.lit(prefix + "root")).otherwise(F.concat(F.lit(prefix), "parent_id")).alias("parent_id"), (F.col("level") + 1).alias("level"), "kind", "label")
     wrap = old.where("parent_id is null").select(F.lit(prefix + "root").alias("node_id"), F.lit(root).alias("parent_id"), F.lit(1).alias("level"), F.lit("chapter").alias("kind"), F.lit(label).alias("label"))
@@ -199,9 +235,41 @@ def uncovered(ranges: DataFrame) -> DataFrame:
     return ordered.select("doc_id", F.explode(fold["kept"]).alias("x")).select("doc_id", "x.lo", "x.hi")
 
 
+def sections(items: DataFrame, ranges: DataFrame, failed: DataFrame, most: int) -> DataFrame:
+    """doc_id, lo, hi of the groups that a response gives: its valid ranges, one per item if it has none.
+
+    Documents in `failed` (the call gave nothing) have one group up to `most` items, else chunks of n // most; a single item is a group.
+    """
+    lone = items.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
+    plain = failed.select("doc_id").distinct().join(lone, "doc_id", "left_anti")
+    chunks = fallback_chunks(items.join(plain, "doc_id", "left_semi"), "doc_id", "ord", most).groupBy("doc_id", "chunk").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).select("doc_id", "lo", "hi")
+    asked = items.join(plain, "doc_id", "left_anti")
+    given = ranges.join(plain, "doc_id", "left_anti")
+    return uncovered(valid_ranges(given, asked)).unionByName(chunks)
+
+
+def two_passes(items: DataFrame, ranges: DataFrame, failed: DataFrame, chapters: DataFrame, chapters_failed: DataFrame, most: int = 12, most_sections: int = 8) -> DataFrame:
+    """doc_id, item_id, section, chapter (null up to `most_sections` sections) and level of every item in a group.
+
+    `chapters(doc_id, pos, start_id, end_id)` is the second response, over the sections' numbers from 1 on as texts.
+    """
+    first = sections(items, ranges, failed, most)
+    first = stored(first.withColumn("section", F.row_number().over(Window.partitionBy("doc_id").orderBy("lo")).cast("long")), "sections")
+    many = first.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most_sections).select("doc_id")
+    units = first.join(many, "doc_id", "left_semi").select("doc_id", F.col("section").cast("string").alias("item_id"), F.col("section").alias("ord"))
+    second = sections(units, chapters, chapters_failed.join(many, "doc_id", "left_semi"), most_sections)
+    second = second.withColumn("chapter", F.row_number().over(Window.partitionBy("doc_id").orderBy("lo")).cast("long"))
+    of = members(second.select("doc_id", "lo", "hi", "chapter"), units).select("doc_id", F.col("ord").alias("section"), "chapter")
+    own = members(first, items).select("doc_id", "item_id", "section")
+    level = F.when(F.col("chapter").isNull(), 2).otherwise(3)
+    # a section that no chapter takes goes with its items
+    kept = own.join(many.withColumn("many", F.lit(True)), "doc_id", "left").join(of, ["doc_id", "section"], "left").where("many is null or chapter is not null")
+    return kept.select("doc_id", "item_id", "section", "chapter", level.alias("level"))
+
+
 def members(ranges: DataFrame, items: DataFrame) -> DataFrame:
     """Items of each range: an interval join within the document."""
-    r = ranges.select(F.col("doc_id").alias("d"), "lo", "hi")
+    r = ranges.withColumnRenamed("doc_id", "d")
     return items.join(r, (F.col("doc_id") == F.col("d")) & F.col("ord").between(F.col("lo"), F.col("hi"))).drop("d")
 
 

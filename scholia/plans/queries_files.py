@@ -17,7 +17,7 @@ from .relations import EVALUATED, NODES, STRIP, nodes, table, turns
 
 @query(f"WITH {NODES} SELECT doc_id, count(*) AS n_nodes, 'en' AS language FROM nodes WHERE kind <> 'paragraph' GROUP BY doc_id")
 def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index documents written as JSON lines and read back."""
+    """Index documents written as JSON lines and read back."""
     trees = D.nested(nodes(spark, sf_dir).where("kind <> 'paragraph'"), 2)
     source = F.struct(F.lit("md").alias("type"), F.concat("doc_id", F.lit(".md")).alias("filename"), F.lit("en").alias("language"))
     path = scratch(spark, "indexes")

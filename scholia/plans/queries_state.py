@@ -13,13 +13,13 @@ from .relations import EVALUATED, TURNS, table, turns
 
 @query(f"WITH {EVALUATED} SELECT session, node, id, attempt, second, intervention, status FROM evaluated")
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts, second strikes, interventions and statuses of every turn."""
+    """Attempts, second strikes, interventions and statuses of every turn."""
     return E.attempts(turns(spark, sf_dir)).select("session", "node", "id", "attempt", "second", "intervention", "status")
 
 
 @query(f"""WITH {EVALUATED} SELECT session, node, count(*) AS attempts, count(*) FILTER (intervention <> 'advance') AS failed_attempts, arg_max(status, id) AS status, string_agg(intervention, ',' ORDER BY ts, id) AS history FROM evaluated GROUP BY session, node""")
 def concept_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each session's nodes after all turns."""
+    """The state of each session's nodes after all turns."""
     return E.concept_state(E.attempts(turns(spark, sf_dir)))
 
 
@@ -56,21 +56,21 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVALUATED} SELECT 'sess_' || session AS session_id, id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, CASE WHEN event_type = 'click' THEN 'audio' ELSE 'text' END AS modality, attempt, intervention, status FROM evaluated WHERE c IN ('alta', 'parziale', 'assente')""")
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trace log, one row for each turn with a valid judgment."""
+    """The trace log, one row for each turn with a valid judgment."""
     rows = E.attempts(turns(spark, sf_dir)).where(E.valid_open(F.col("c"), F.col("k"), F.col("e")))
     return rows.select(F.concat(F.lit("sess_"), "session").alias("session_id"), "id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.when(F.col("event_type") == "click", "audio").otherwise("text").alias("modality"), "attempt", "intervention", "status")
 
 
 @query("SELECT user_id AS material_id, event_type AS artifact_type, arg_max(event_id, (ts, event_id)) AS id, arg_max(props, (ts, event_id)) AS content FROM events GROUP BY user_id, event_type")
 def latest_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest artifact of each material and type."""
+    """The newest artifact of each material and type."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("material_id"), F.col("event_type").alias("artifact_type"), F.col("event_id").alias("id"), F.col("props").alias("content"), "ts")
     return store.latest(rows, ["material_id", "artifact_type"], "ts", "id").drop("ts")
 
 
 @query("SELECT c_custkey AS material_id, c_name AS name, n_nationkey AS subject_id, n_name AS subject, r_name AS group_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 2")
 def group_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Materials of one group, through their subjects."""
+    """Materials of one group, through their subjects."""
     m = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("material_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("subject_id"))
     s = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject_id"), F.col("n_name").alias("subject"), F.col("n_regionkey").alias("group_id"))
     g = table(spark, sf_dir, "region").where("r_regionkey = 2").select(F.col("r_regionkey").alias("group_id"), F.col("r_name").alias("group_name"))
@@ -108,3 +108,50 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("p_partkey"))
     rows = store.absent(table(spark, sf_dir, "part"), present, ["p_partkey"])
     return rows.select("p_partkey", store.upload_path(F.col("p_size"), F.col("p_partkey") % 5, F.col("p_name")).alias("path"))
+
+
+_MIXED = f"""{TURNS}, mixed AS (SELECT *, CASE event_type WHEN 'view' THEN 'flashcard' WHEN 'click' THEN 'mcq' WHEN 'signup' THEN 'essay' ELSE 'open' END AS kind,
+  CASE WHEN event_type = 'view' THEN ['El Niño!', 'el  nino', 'la niña', ''][id % 4 + 1] WHEN id % 6 < 4 THEN chr((65 + id % 6)::INT) WHEN id % 6 = 4 THEN '2' ELSE ' ÉTÉ ' END AS response FROM turns
+), judged AS (SELECT *, CASE WHEN kind = 'essay' THEN 'unknown assessment type' WHEN kind = 'open' AND id % 11 = 0 THEN 'no valid judgment' END AS error, CASE WHEN kind = 'open' THEN c = 'alta' AND k = 'corretta' AND e = 'rielaborata'
+  WHEN kind = 'mcq' THEN coalesce(CASE WHEN regexp_matches(response, '^[A-D]$') THEN ascii(response) - 65 WHEN response = '2' THEN 1 ELSE list_position(['hiver', 'ete', 'automne', 'printemps'], strip_accents(lower(trim(response)))) - 1 END = session % 4, false)
+  WHEN strip_accents(lower(trim(regexp_replace(regexp_replace(response, '[^\\p{{L}} ]', '', 'g'), ' +', ' ', 'g')))) = 'el nino' THEN true ELSE id % 5 >= 3 END AS good FROM mixed
+), counted AS (SELECT *, coalesce(sum(CASE WHEN error IS NULL AND NOT good THEN 1 ELSE 0 END) OVER (PARTITION BY session, node ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS failed FROM judged
+), routed AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN good THEN 'advance' WHEN failed >= 1 THEN 'full_redirect' WHEN kind <> 'open' THEN 'hint_plus_redirect' WHEN k <> 'corretta' THEN 'redirect_only' WHEN c <> 'alta' THEN 'hint_plus_redirect' ELSE 'modality_switch' END AS intervention FROM counted
+), ev AS (SELECT session, node, ts, id, kind, CASE WHEN kind IN ('mcq', 'flashcard') THEN good END AS correct, error, CASE WHEN error IS NULL THEN failed + 1 END AS attempt, intervention, CASE WHEN error IS NULL THEN CASE intervention WHEN 'advance' THEN 'passed' WHEN 'full_redirect' THEN 'fragile' ELSE 'pending' END END AS status FROM routed)"""
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all item types, with what is needed to judge them."""
+    n, kind = F.col("id"), F.col("kind")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int"))
+    rows = turns(spark, sf_dir).withColumn("kind", F.when(F.col("event_type") == "view", "flashcard").when(F.col("event_type") == "click", "mcq").when(F.col("event_type") == "signup", "essay").otherwise("open"))
+    card, option = pick(["El Niño!", "el  nino", "la niña", ""], n % 4 + 1), pick(["A", "B", "C", "D", "2", " ÉTÉ "], n % 6 + 1)
+    given = [F.when((kind == "open") & (n % 11 == 0), None).otherwise(F.col(x)).alias(x) for x in "cke"]
+    options = F.array(*map(F.lit, ["Hiver", "Été", "Automne", "Printemps"]))
+    return rows.select("session", "node", "ts", "id", "kind", F.when(kind == "flashcard", card).otherwise(option).alias("response"), options.alias("options"), (F.col("session") % 4).alias("correct"), F.lit("el niño").alias("expected"), ((n % 5) / 5).alias("fuzzy"), *given)
+
+
+@query(f"WITH {_MIXED} SELECT * FROM ev")
+def evaluated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed items, flashcards and open questions judged, routed and counted in one plan."""
+    return E.evaluated(_mixed(spark, sf_dir))
+
+
+@query(f"WITH {_MIXED} SELECT session, node, count(*) AS attempts, count(*) FILTER (intervention <> 'advance') AS failed_attempts, arg_max(status, (ts, id)) AS status, string_agg(intervention, ',' ORDER BY ts, id) AS history FROM ev WHERE error IS NULL GROUP BY session, node")
+def evaluated_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's nodes after all turns of all item types."""
+    return E.concept_state(E.evaluated(_mixed(spark, sf_dir)).where("error is null"))
+
+
+@query("SELECT user_id AS material_id, event_type AS artifact_type, event_id AS id FROM events WHERE event_type IN ('click', 'purchase')")
+def artifacts_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts of the types asked for; an unknown type has none."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("material_id"), F.col("event_type").alias("artifact_type"), F.col("event_id").alias("id"))
+    return store.of_types(rows, ["click", "purchase", "no such type"])
+
+
+@query("SELECT o_custkey AS subject_id, o_orderkey AS material_id, o_orderdate AS uploaded_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
+def newest_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject's materials, the newest first (O1, R2)."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("material_id"), F.col("o_orderdate").alias("uploaded_at"))
+    return store.newest_first(rows, "subject_id", "uploaded_at", "material_id")

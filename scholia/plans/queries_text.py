@@ -13,7 +13,7 @@ from .registry import query
 from .relations import STRIP, table
 
 _STOP = ", ".join("'" + w + "'" for w in [*T.STOPWORDS_IT, *T.STOPWORDS_EN])
-_NORM = lambda c: f"trim(regexp_replace(regexp_replace(translate(lower({STRIP(c)}), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NORM = lambda c: f"trim(regexp_replace(regexp_replace(strip_accents(lower({STRIP(c)})), '[^\\p{{L}}\\p{{N}}_\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))"
 _WORDS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 4 AND w NOT IN ({_STOP})))"
 _CUT = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} ELSE substr({c}, 1, {n - 1}) || '…' END"
 
@@ -83,7 +83,7 @@ def _votes(words: list[str]) -> str:
 @query(f"""WITH s AS (SELECT doc_id, lang, string_split_regex(lower(substr(text, 1, 4096)), '[^\\p{{L}}]+') AS w FROM documents), v AS (SELECT doc_id, lang, {_votes(T.STOPWORDS_IT)} AS it, {_votes(T.STOPWORDS_EN)} AS en FROM s)
 SELECT doc_id, CASE WHEN it > en THEN 'it' ELSE 'en' END AS detected, CASE WHEN lang = 'en' THEN 'en' END AS normal, coalesce(CASE WHEN lang = 'en' THEN 'en' END, CASE WHEN en > it THEN 'en' ELSE 'it' END) AS resolved FROM v""")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of a sample by stop words, of a code, and the one to use."""
+    """Language of a sample by stop words, of a code, and the one to use."""
     sample = F.substring("text", 1, 4096)
     code = T.normalize_language(F.col("lang"))
     return table(spark, sf_dir, "documents").select("doc_id", T.detect_language(sample, "en").alias("detected"), code.alias("normal"), F.coalesce(code, T.detect_language(sample, "it")).alias("resolved"))
@@ -142,7 +142,7 @@ def item_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT c_custkey, ['', '0', '1', '4', '5', 'A', 'd', 'E', 'Z', ' perché '][c_custkey % 10 + 1] AS r FROM customer), i AS (SELECT *, CASE r WHEN '0' THEN 0 WHEN '1' THEN 0 WHEN '4' THEN 3 WHEN 'A' THEN 0 WHEN 'd' THEN 3 WHEN 'E' THEN 4 WHEN ' perché ' THEN 2 END AS i FROM r)
 SELECT c_custkey, i::INT AS option_index, coalesce(i = 2, false) AS correct, coalesce(['uno', 'due', 'Perche', 'tre'][i + 1], r) AS selected, r = ' perché ' AS card_correct FROM i""")
 def closed_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options named by number, letter or text, and flashcards."""
+    """Options named by number, letter or text, and flashcards."""
     r = F.element_at(F.array(*map(F.lit, ["", "0", "1", "4", "5", "A", "d", "E", "Z", " perché "])), (F.col("c_custkey") % 10 + 1).cast("int"))
     options = F.array(*map(F.lit, ["uno", "due", "Perche", "tre"]))
     correct, selected = E.judged_closed(r, options, F.lit(2))

@@ -24,7 +24,7 @@ _MD = TEXT_BLOCKS + """, seen AS (
 
 @query(f"WITH {_MD} SELECT doc_id, node, parent, level, kind, text, lo, hi, array_to_string(path, '/') AS path FROM tree")
 def markdown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and leaves of every text as a tree."""
+    """Headings and leaves of every text as a tree (A3)."""
     found = T.markdown_tree(text_blocks(table(spark, sf_dir, "documents")))
     return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
@@ -77,13 +77,13 @@ def structural_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.issues(nodes(spark, sf_dir))
 
 
-@query(f"""WITH {NODES}, sub AS (SELECT * FROM nodes WHERE kind <> 'paragraph' AND (kind <> 'section' OR child_ord % 50 = 0)), ch AS (SELECT doc_id, parent_id, count(*) AS n FROM sub WHERE parent_id IS NOT NULL GROUP BY doc_id, parent_id
-), gone AS (SELECT s.doc_id, s.node_id FROM sub s JOIN ch ON ch.doc_id = s.doc_id AND ch.parent_id = s.node_id WHERE n = 1 AND s.parent_id IS NOT NULL), kept AS (SELECT s.* FROM sub s ANTI JOIN gone USING (doc_id, node_id))
-SELECT k.doc_id, k.node_id, CASE WHEN g.node_id IS NOT NULL THEN 'r' || substr(k.doc_id, 2) ELSE k.parent_id END AS parent_id, (len(k.path) - 1 - CASE WHEN g.node_id IS NOT NULL THEN 1 ELSE 0 END)::INT AS level FROM kept k LEFT JOIN gone g ON g.doc_id = k.doc_id AND g.node_id = k.parent_id""")
+@query(f"""WITH {NODES}, ch AS (SELECT doc_id, parent_id, count(*) AS n, min(kind) AS kid FROM nodes WHERE parent_id IS NOT NULL GROUP BY doc_id, parent_id
+), gone AS (SELECT s.doc_id, s.node_id FROM nodes s JOIN ch ON ch.doc_id = s.doc_id AND ch.parent_id = s.node_id WHERE n = 1 AND kid <> 'paragraph' AND s.parent_id IS NOT NULL), steps AS (SELECT k.doc_id, node_id, unnest(path) AS up, generate_subscripts(path, 1) AS place FROM nodes k ANTI JOIN gone USING (doc_id, node_id)
+), p AS (SELECT s.doc_id, s.node_id, list(up ORDER BY place) AS path FROM steps s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.node_id = s.up WHERE g.node_id IS NULL GROUP BY s.doc_id, s.node_id)
+SELECT doc_id, node_id, CASE WHEN len(path) > 1 THEN path[-2] END AS parent_id, (len(path) - 1)::INT AS level FROM p""")
 def collapsed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees without single-child chains."""
-    rows = nodes(spark, sf_dir).where("kind <> 'paragraph' and (kind <> 'section' or child_ord % 50 = 0)")
-    return T.collapsed(rows)
+    """Trees without single-child chains."""
+    return T.collapsed(nodes(spark, sf_dir))
 
 
 @query(f"WITH {NODES} SELECT doc_id, node_id, CASE WHEN len(path) - 1 > 2 THEN path[3] ELSE parent_id END AS parent_id, least(len(path) - 1, 3)::INT AS level FROM nodes WHERE len(path) - 1 <= 2 OR kind = 'paragraph'")
@@ -155,7 +155,7 @@ def merged_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NODES} SELECT doc_id, node_id, repeat('  ', greatest(len(path) - 2, 0)::INT) || CASE WHEN kind = 'root' THEN 'All document' ELSE label END AS line, len(path) <= 2 AS expanded, row_number() OVER (PARTITION BY doc_id ORDER BY sort_key) AS place FROM nodes WHERE kind <> 'paragraph'")
 def picker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees in pre-order as indented lines."""
+    """Trees in pre-order as indented lines."""
     w = T.Window.partitionBy("doc_id").orderBy("sort_key")
     rows = nodes(spark, sf_dir).where("kind <> 'paragraph'")
     line = F.concat(F.expr("repeat('  ', greatest(size(path) - 2, 0))"), F.when(F.col("kind") == "root", "All document").otherwise(F.col("label")))
@@ -206,3 +206,17 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges, items = _ranges(spark, sf_dir)
     kept = T.uncovered(T.valid_ranges(ranges, items))
     return T.members(kept, items).groupBy("doc_id", "lo", "hi").agg(F.count("*").alias("members"))
+
+
+@query(f"""WITH RECURSIVE {_RANGES}, valid2 AS (SELECT * FROM valid WHERE doc_id % 6 <> 0 OR (SELECT count(*) FROM items i WHERE i.doc_id = valid.doc_id) = 1), o AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY doc_id ORDER BY lo, pos) AS k FROM valid2
+), walk AS (SELECT doc_id, lo, hi, k, true AS kept, hi AS last FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.lo, o.hi, o.k, o.lo > w.last, CASE WHEN o.lo > w.last THEN o.hi ELSE w.last END FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1
+), sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM items WHERE doc_id % 6 = 0
+), chunks AS (SELECT doc_id, min(ord) AS lo, max(ord) AS hi FROM (SELECT *, CASE WHEN n <= 12 THEN 0 ELSE ord // greatest(1, n // 12) END AS c FROM sized WHERE n > 1) GROUP BY doc_id, c
+), sec AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY doc_id ORDER BY lo) AS section, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, lo, hi FROM walk WHERE kept UNION ALL SELECT * FROM chunks))
+SELECT i.doc_id, i.item_id, section, CASE WHEN n > 8 THEN (section - 1) // greatest(1, n // 8) + 1 END AS chapter, CASE WHEN n > 8 THEN 3 ELSE 2 END AS level FROM sec s JOIN items i ON i.doc_id = s.doc_id AND i.ord BETWEEN s.lo AND s.hi""")
+def clustered_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in sections, and where there are over eight of these in chapters, in chunks where a response is missing."""
+    ranges, items = _ranges(spark, sf_dir)
+    failed = items.where("doc_id % 6 = 0").select("doc_id").distinct()
+    none = ranges.limit(0)
+    return T.two_passes(items, ranges, failed, none, items.select("doc_id").distinct())

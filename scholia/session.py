@@ -35,7 +35,18 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df, label: str):
+    """`df` written to a new path in the shared folder and read back: made once, and there when executors are lost."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder (`spark.checkpoint.dir`; a local folder where that is unset, as in tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"

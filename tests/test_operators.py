@@ -114,3 +114,49 @@ def test_trace_sink(spark, tmp_path):
     for _ in range(2):
         state.trace_sink(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out")).count() == rows.where("session < 20").count()
+
+
+def test_unaccented_against_unicode(spark):
+    import unicodedata
+
+    from scholia.functions.text import KEPT, normalize_text, unaccented
+
+    texts = ["".join(chr(c) for c in range(k, k + 64) if not any(lo <= c <= hi for lo, hi in KEPT)) for k in range(0x80, 0xFFC0, 64)] + ["e\u0301\ufb01\u00bd", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", unaccented(F.col("t")).alias("u"), normalize_text(F.col("t")).alias("n")).collect()
+    for r in rows:
+        assert r.u == "".join(x for x in unicodedata.normalize("NFKD", texts[r.i]) if not unicodedata.combining(x))
+    assert {r.i: r.n for r in rows}[len(texts) - 2] == "efi1 2"
+
+
+def test_markdown_blocks(spark):
+    from scholia.sources.markdown import markdown_blocks
+
+    text = "intro\nover two lines\n\n# One\n\n### Deep ###\n- item\n  goes on\n\n  its own paragraph\n1. first\n```\n# no heading\n```\n\nUnder\nlined\n===\n\n    code\n\n> said\n> more\n\n---\nlast"
+    rows = markdown_blocks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")).orderBy("ord").collect()
+    assert [(r.kind, r.level, r.text) for r in rows] == [("paragraph", 0, "intro\nover two lines"), ("heading", 1, "One"), ("heading", 3, "Deep"), ("list_item", 0, "item\ngoes on"), ("list_item", 0, "its own paragraph"), ("list_item", 0, "first"), ("heading", 1, "Under\nlined"), ("paragraph", 0, "said\nmore"), ("paragraph", 0, "last")]
+    assert [r.list_kind for r in rows[3:6]] == ["bullet", None, "ordered"]
+    assert text[rows[0].lo : rows[0].hi] == "intro\nover two lines" and text[rows[6].lo : rows[6].hi] == "Under\nlined\n==="
+
+
+def test_two_passes_boundaries(spark):
+    from scholia.operators.tree import two_passes
+
+    sizes = {1: 1, 12: 12, 13: 13, 25: 25, 9: 9, 8: 8}
+    items = spark.createDataFrame([(d, f"i{k}", k) for d, n in sizes.items() for k in range(n)], "doc_id int, item_id string, ord long")
+    ranges = spark.createDataFrame([], "doc_id int, pos long, start_id string, end_id string")
+    failed = spark.createDataFrame([(d,) for d in (12, 13, 25)], "doc_id int")
+    rows = two_passes(items, ranges, failed, ranges, spark.createDataFrame([(9,)], "doc_id int")).collect()
+    sections = {d: len({r.section for r in rows if r.doc_id == d}) for d in sizes}
+    assert sections == {1: 1, 12: 1, 13: 13, 25: 13, 9: 9, 8: 8}
+    assert {r.level for r in rows if r.doc_id == 8} == {2} and {r.level for r in rows if r.doc_id == 9} == {3}
+    assert len({r.chapter for r in rows if r.doc_id == 9}) == 9
+
+
+def test_evaluated_turns(spark):
+    from scholia.operators import evaluate
+
+    rows = [(1, "n", 1, 1, "mcq", "b", None), (1, "n", 2, 2, "flashcard", " CAFÉ! ", None), (1, "n", 3, 3, "open", "", "alta"), (1, "n", 4, 4, "open", "", None), (1, "n", 5, 5, "mcq", "A", None), (1, "m", 1, 6, "essay", "", None)]
+    turns = spark.createDataFrame(rows, "session int, node string, ts int, id int, kind string, response string, c string")
+    turns = turns.withColumn("options", F.array(F.lit("x"), F.lit("y"))).withColumn("correct", F.lit(0)).withColumn("expected", F.lit("cafe")).withColumn("fuzzy", F.lit(None).cast("double")).withColumn("k", F.lit("errata")).withColumn("e", F.lit("riportata"))
+    got = {r.id: (r.correct, r.error, r.attempt, r.intervention, r.status) for r in evaluate.evaluated(turns).collect()}
+    assert got == {1: (False, None, 1, "hint_plus_redirect", "pending"), 2: (True, None, 2, "advance", "passed"), 3: (None, None, 2, "full_redirect", "fragile"), 4: (None, "no valid judgment", None, None, None), 5: (True, None, 3, "advance", "passed"), 6: (None, "unknown assessment type", None, None, None)}
