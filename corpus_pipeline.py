@@ -2,6 +2,11 @@
 
 Each stage takes the documents that the one before kept. `run` writes each stage's result to the shared folder and
 reads it back, so that a later stage doesn't repeat the earlier ones.
+
+In every stage null and empty texts are documents of no words (one of them stays as the group of equal texts), texts of any
+length are treated whole, and rows without a doc_id pass all but the classifier untouched. Rows that repeat a doc_id are judged each by itself by the classifier;
+near-duplicates and benchmark leaks keep or drop them together, and of different texts under one doc_id only one is searched for passages.
+Empty tables give no rows; further columns pass, whatever their names.
 """
 
 from __future__ import annotations
