@@ -8,7 +8,8 @@ twice. So each pre-token takes linear time and gets just the tokens that the mer
 bytes in one buffer by an offset table.
 
 Nulls are empty texts. Empty texts have no tokens. Special tokens within texts are found first, as the library does.
-Texts of any length are encoded whole. Rows may repeat; each is encoded by itself; other columns pass untouched.
+Texts of any length are encoded whole. Rows may repeat; each is encoded by itself; other columns pass untouched. Empty
+tables give no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ is a proper prefix of another are left out by an anti-join, and of equal ones th
 rendered turn by turn.
 
 Turns are ordered by turn (null first), then role and text; repeated equal rows of a conversation count once. A null
-role is `unknown`, a null text empty. Rows without a conv_id are left out. An empty table gives no rows. Other columns
+role is `unknown`, a null text empty. Texts of any length count whole; a conversation
+is rendered as one value. Rows without a conv_id are left out. An empty table gives no rows. Other columns
 aren't read.
 """
 

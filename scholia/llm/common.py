@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; a local one only where that is unset and Spark runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), "checkpoints", f"scholia-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
@@ -28,10 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
 NARROW = "snappy"
 
 
+_paths: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written, and tells how many; results that read them have to be saved before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _paths:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(_paths)
+    _paths.clear()
+    return n
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes `df` to the shared folder and reads it back: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

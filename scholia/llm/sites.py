@@ -9,7 +9,7 @@ is good, is summed for each path and host by grouped aggregation. A host's poste
 global mean and a path's towards its host's, with a weight from the spread between sites (method of moments): sparse sites stay near
 their parents. A document is good if its log odds plus `site_weight` times the site's shift are positive.
 
-Null and empty texts have the evidence of their measures alone. Null hosts or paths are sites of their own. Rows
+Null and empty texts have the evidence of their measures alone; texts of any length are scored whole. Null hosts or paths are sites of their own. Rows
 without a doc_id are judged like others. Labels with nulls are ignored; without labels of both classes a model says
 nothing (probability one half of its prior, 0.0) and everything is kept. Repeated rows are judged each by itself. Empty tables
 give no rows. Other columns pass untouched, whatever their names but for those added.

@@ -6,6 +6,7 @@ to right; sequences without a mergeable pair are done. The surviving symbols are
 
 Nulls are empty texts with 0 bytes and 0 tokens. Special tokens within texts count as one, as the library finds them.
 Texts are counted whole, whatever their length. Rows may repeat; each is counted by itself.
+Empty tables give no rows. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations

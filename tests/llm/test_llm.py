@@ -67,6 +67,56 @@ def test_simhash_against_brute_force(spark):
     assert rows[6] == 5 and rows[0] == rows[1] == rows[2] == 0 and None not in rows
 
 
+def test_fingerprints_and_groups_against_brute_force(spark):
+    import xxhash
+
+    own = random.Random(6)
+    base = [[own.choice("abcdefgh") * own.randint(1, 4) for _ in range(own.randint(0, 60))] for _ in range(30)]
+    texts = [" ".join(b[:k] + ["New"] + b[k:]) for b in base for k in (0, len(b) // 2, len(b))] + [" ".join(b) for b in base] + ["\u00a0a\tB\x0bc", "A b"]
+    want = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        for c in "\t\n\x0b\x0c\r":
+            w = w.replace(c, " ")
+        w = [x for x in w.split(" ") if x]
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
+        want.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    lead = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if (want[i] ^ want[j]).bit_count() <= 3:
+                    lead[i] = min(lead[i], lead[j])
+    rows = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(documents(spark, *texts)).collect()}
+    assert rows == {i: (int(np.array(f, np.uint64).view(np.int64)), lead[i]) for i, f in enumerate(want)}
+
+
+def test_similar_texts_against_brute_force(spark):
+    """Groups by five-word shingles: no wrong link, and nearly all pairs of 0.8 or more together."""
+    own = random.Random(7)
+    texts = []
+    for k in range(40):
+        base = words(own.randint(80, 300), 300 + k).split()
+        texts.append(base)
+        for _ in range(3):
+            new = list(base)
+            for at in own.sample(range(len(new)), own.randint(0, max(1, len(new) // 60))):
+                new[at] = f"n{own.randrange(1000)}"
+            texts.append(new)
+    texts += [words(3, 1).split(), words(3, 1).split(), words(2, 2).split(), [], []]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    lead = {r.doc_id: r.lead for r in simhash.similar(documents(spark, *map(" ".join, texts))).collect()}
+    assert sum(lead[i] == lead[j] for i, j in pairs) >= 0.9 * len(pairs) and len(pairs) > 100
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    assert all(group[i] == group[lead[i]] for i in lead)
+    left = simhash.keep_one(odd(spark)).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in left) == [(False, d) for d in (0, 3, 4, 5, 5, 7)] + [(True, None)]
+
+
 def test_thresholds_follow_the_pigeonhole_principle():
     both = np.full((64, 64), 250.0)
     np.fill_diagonal(both, 500)
@@ -103,6 +153,86 @@ def test_passage_of_one_line_again_and_again(spark):
     assert abs(found.start_word - 150) <= 3 and abs(found.n_words - 1200) <= 6 and abs(found.other_start - 300) <= 3
 
 
+def shared_words(seed):
+    own = random.Random(seed)
+    return ["".join(own.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+
+
+def test_passage_hidden_by_parts_in_other_texts(spark):
+    p, other = shared_words(70)[:100], lambda k, n: words(n, 700 + k)
+    cuts = [(0, 45), (30, 75), (60, 100)]
+    texts = {k: [other(k, 30), " ".join(p[a:b]), other(k + 50, 20)] for k, (a, b) in enumerate(cuts)}
+    texts |= {k + 13: [other(k + 13, 30), " ".join(p[a:b]), other(k + 63, 20)] for k, (a, b) in enumerate(cuts)}
+    texts |= {10: [other(10, 40), " ".join(p), other(60, 9)], 19: [other(19, 12), " ".join(p), other(69, 40)]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    found = [(r.doc_id, r.other_doc_id, r.start_word, r.n_words) for r in passages.passages(docs).collect()]
+    assert found == [(19, 10, 12, 100)]
+
+
+def test_passage_is_not_cut_where_it_agrees_less(spark):
+    p = shared_words(71)[:360]
+    changed = p[:60] + [w if k % 7 else "other" for k, w in enumerate(p[60:], 1)]
+    docs = documents(spark, words(30, 72) + " " + " ".join(p) + " " + words(50, 73), words(130, 74) + " " + " ".join(changed) + " " + words(150, 75))
+    (found,) = passages.passages(docs).collect()
+    assert found.n_words >= 358 and found.identity > 0.85
+
+
+@pytest.mark.parametrize("kind, least", [("exact", 1.0), ("every fifth", 0.9), ("random", 0.9), ("dropped", 1.0)])
+def test_passage_recall(spark, kind, least):
+    """Planted passages of 50 words and more, words as frequent as in texts; a passage counts if nine tenths of it are named."""
+    own = random.Random(80)
+    known = ["".join(own.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
+    some = lambda n: own.choices(known, [1 / (k + 5) for k in range(3000)], k=n)
+    rows, planted = [], []
+    for i in range(60):
+        n = 50 if kind == "exact" else 60
+        p = some(n)
+        q = {"exact": p, "every fifth": [w if k % 5 != 2 else f"x{k}" for k, w in enumerate(p)], "dropped": [w for k, w in enumerate(p) if k % 13 != 6], "random": list(p)}[kind]
+        if kind == "random":
+            for k in own.sample(range(1, n - 1), n // 5):
+                q[k] = f"y{k}"
+        before = own.randint(0, 150)
+        rows += [(2 * i, " ".join(some(own.randint(0, 150)) + p + some(40))), (2 * i + 1, " ".join(some(before) + q + some(own.randint(0, 80))))]
+        planted.append((2 * i + 1, before, len(q)))
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = 0
+    for doc, start, n in planted:
+        named = {k for r in got if r.doc_id == doc for k in range(r.start_word, r.start_word + r.n_words)}
+        hit += len(named & set(range(start, start + n))) >= 0.9 * n
+    assert hit / len(planted) >= least
+
+
+def test_leaks_against_brute_force(spark):
+    """All pairs of texts and items by the longest common subsequence over windows, answers included."""
+    own = random.Random(90)
+    items, texts = [], []
+    for i in range(12):
+        question = shared_words(900 + i)[: own.randint(20, 60)]
+        items.append((i, " ".join(question) + ". " + words(5, 950 + i) + "."))
+        whole = items[-1][1].split()
+        for share, said in ((0.9, True), (0.7, True), (0.7, False), (0.4, True)):
+            kept = [w if own.random() < share + 0.04 else "zz" for w in question]
+            texts.append(words(own.randint(0, 60), 990 + len(texts)).split() + kept + (whole[len(question) :] if said else []) + words(30, 1500 + len(texts)).split())
+    items += [(20, "one two three"), (21, "alpha beta gamma delta epsilon")]
+    texts += ["one two three".split(), "zero one two three".split(), "x alpha beta gamma delta epsilon y".split()]
+    clean = lambda ws: [w.strip(".") for w in ws]
+    want, close = set(), set()
+    for i, item in items[:12]:
+        w = clean(item.split())
+        tail = clean(item.split(". ")[1].split())
+        for d, text in enumerate(texts):
+            t = clean(text)
+            best = max((decontam.lcs([hash(x) for x in w], [hash(x) for x in t[a : a + len(w) + 16]]) / len(w) for a in range(0, len(t), 8)))
+            holds = best >= 0.75 or (best >= 0.6 and decontam.lcs([hash(x) for x in tail], [hash(x) for x in t]) >= 0.9 * len(tail))
+            (want if holds else close).add((d, i)) if holds or best >= 0.5 else None
+    want |= {(48, 20), (50, 21)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(documents(spark, *map(" ".join, texts)), benchmark).collect()}
+    assert len(want & found) >= 0.95 * len(want) and len(found - want) <= 0.05 * len(want) + 1
+    assert {(48, 20), (50, 21)} <= found and not {(49, 20)} & found
+    assert decontam.leaks(odd(spark), benchmark).count() == 0
+
+
 def test_leaks_found(spark):
     items = [(i, words(30, 100 + i) + ". " + words(6, 200 + i) + ".") for i in range(5)] + [(9, None), (None, "x")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -135,6 +265,45 @@ def test_classifier_held_out(spark):
     assert sites.classified(odd(spark), labels.limit(0)).where("not kept").count() == 0
 
 
+def test_site_posteriors_by_hand(spark):
+    rows = [("a", "x", 0.9), ("a", "x", 0.7), ("a", "y", 0.1), ("b", "x", 0.2), ("b", None, 0.4), (None, "x", 1.0)]
+    found, mean = sites.sites(spark.createDataFrame(rows, "host string, path string, good double"))
+    from collections import defaultdict
+
+    n, s, hn, hs = defaultdict(int), defaultdict(float), defaultdict(int), defaultdict(float)
+    for h, p, g in rows:
+        n[h, p] += 1
+        s[h, p] += g
+        hn[h] += 1
+        hs[h] += g
+    m = sum(hs.values()) / len(rows)
+    weight = lambda sizes, sums, prior: m * (1 - m) / max((sum(sizes[k] * (sums[k] / sizes[k] - prior(k)) ** 2 for k in sizes) - len(sizes) * m * (1 - m)) / max(len(rows) - sum(v * v for v in sizes.values()) / len(rows), 1.0), 1e-4)
+    k = weight(hn, hs, lambda _: m)
+    host = {h: (hs[h] + k * m) / (hn[h] + k) for h in hn}
+    k = weight(n, s, lambda hp: host[hp[0]])
+    assert abs(mean - m) < 1e-9
+    for r in found.collect():
+        assert abs(r.host_mean - host[r.host]) < 1e-9
+        assert abs(r.path_mean - (s[r.host, r.path] + k * host[r.host]) / (n[r.host, r.path] + k)) < 1e-9
+
+
+def test_quality_bands_by_hand(spark):
+    own = random.Random(11)
+    texts = [words(own.randint(60, 90), 400 + i) for i in range(30)] + ["the quick brown fox jumps over a lazy dog " + words(50, 500), "\u4e00\u9fa5\u3400 " * 3 + " ".join(chr(0x13000 + i) for i in range(60))]
+    rows = quality.judged(documents(spark, *texts)).collect()
+    for lang in {r.lang for r in rows}:
+        mine = [r for r in rows if r.lang == lang]
+        good = [r for r in mine if not r.base_failed]
+        for r in mine:
+            inside = not r.base_failed
+            for m, (low, high, least) in quality.BANDS.items():
+                v = sorted(round(x[m], 4) for x in good)
+                q1, q3 = (v[-(-len(v) * p // 4) - 1] for p in (1, 3)) if v else (0, 0)
+                reach = 4.0 * max(q3 - q1, least)
+                inside &= not (low and r[m] < q1 - reach) and not (high and r[m] > q3 + reach)
+            assert r.kept == inside
+
+
 def test_quality_against_brute_force(spark):
     import re
     from collections import Counter
@@ -214,6 +383,45 @@ def test_url_templates_of_bad_branches(spark):
     assert {r.template for r in found if r.path.startswith("/u/")} == {"/u/*", "/u/spam/*"}
 
 
+def test_empty_tables(spark):
+    docs, labels = documents(spark).limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, words(20, 1))], "item_id long, text string")
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    for found in (decontam.leaks(docs, benchmark), decontam.clean(docs, benchmark), passages.passages(docs), passages.deduplicated(docs), sites.classified(docs, labels), sites.kept(docs, labels), chat.rendered(talks), simhash.near_duplicates(docs), simhash.keep_one(docs), quality.judged(docs), bpe.digests(docs), tokencount.token_counts(docs)):
+        assert found.count() == 0
+
+
+def test_chat_of_odd_conversations(spark):
+    long = "long " * 50_000
+    rows = [(1, 0, "user", long), (1, 0, "user", long), (2, 0, "user", long), (2, 1, None, None), (3, 5, "user", "")]
+    talks = spark.createDataFrame([(*r, "x", 7) for r in rows], "conv_id long, turn long, role string, text string, n string, h1 int")
+    got = {r.conv_id: r for r in chat.rendered(talks).collect()}
+    assert set(got) == {2, 3} and got[2].n_turns == 2 and long in got[2].rendered and "unknown" in got[2].rendered
+
+
+def test_pipeline_stages(spark):
+    """What each stage takes out and what it leaves."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = stages["quality classifier"](spark, docs, "/root/testdata/sf0.01")
+    sure = labels.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).join(good.select("doc_id", F.lit(True).alias("in")), "doc_id", "left").toPandas()
+    assert sure[sure.good]["in"].notna().mean() > 0.95 and sure[~sure.good]["in"].notna().mean() < 0.3
+    base, p = words(200, 600).split(), words(70, 601)
+    near = " ".join(base[:100] + ["new"] + base[101:])
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    made = documents(spark, " ".join(base), near, " ".join(base), words(90, 602) + " " + p, words(90, 603) + " " + p, words(90, 604) + " " + item, words(150, 605), None, "")
+    one = stages["SimHash near-dedup"](spark, made, SF)
+    assert {r.doc_id for r in one.collect()} == {0, 3, 4, 5, 6, 7}
+    cut = stages["substring dedup"](spark, made.where("doc_id >= 3"), SF).collect()
+    assert {r.doc_id for r in cut} == {3, 4, 5, 6, 7, 8} and [r.doc_id for r in cut if r.text and p in r.text] == [3]
+    assert {r.doc_id for r in stages["benchmark decontamination"](spark, made, SF).collect()} == {0, 1, 2, 3, 4, 6, 7, 8}
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, odd(spark), SF).columns == odd(spark).columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
