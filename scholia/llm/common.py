@@ -57,14 +57,15 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 PARTS = 64
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], keys: DataFrame, by: list[str], how: str = "inner", least: int = 10_000) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], keys: DataFrame, by: list[str], how: str = "inner", least: int = 10_000, total: int | None = None) -> DataFrame:
     """Inner or left join of two tables of which `big` may have much of its rows in few keys.
 
     Keys with over a PARTS-th of the rows of `keys` (big's rows, or a written table with the same keys) and over `least` are
     dealt out by a hash of big's columns `by`, and small's rows of these keys repeated; there are fewer than PARTS such keys.
+    `total`: how many rows `keys` has, if that is known.
     """
     often = keys.groupBy(*on).agg(F.count("*").alias("_n"))
-    total = keys.count()
+    total = keys.count() if total is None else total
     hot = [r for r in often.where(F.col("_n") > max(total // PARTS, least)).drop("_n").collect()] if total > least else []
     if not hot:
         return big.join(small, on, how)

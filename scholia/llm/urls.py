@@ -118,11 +118,12 @@ def tree(pages: DataFrame) -> DataFrame:
         left = rows.withColumn("seg", F.coalesce(F.get(segments, level), F.lit(""))).withColumn("next", F.coalesce(F.get(segments, level + 1), F.lit("")))
         each = left.groupBy(*branch, "next").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
         each = written(each, "url-branches")
+        n = each.count()
         kids = each.groupBy(*branch).agg(F.sum("n").alias("cn"), F.sum("lab").alias("cl"), F.sum("bad").alias("cb"))
         nodes = kids.groupBy(*node).agg(F.sum("cn").alias("pn"), F.sum("cl").alias("pl"), F.sum("cb").alias("pb"), F.count("*").alias("kids"))
-        both = written(spread_join(kids, nodes, node, each, ["seg"]), "url-nodes")
+        both = written(spread_join(kids, nodes, node, each, ["seg"], total=n), "url-nodes")
         spread = each.groupBy(*node, "next").agg(F.sum("n").alias("total"))
-        shares = spread_join(spread_join(each.select(*branch, "next", "n"), spread, [*node, "next"], each, ["seg"]), both.select(*branch, "cn", "pn"), branch, each, ["next"])
+        shares = spread_join(spread_join(each.select(*branch, "next", "n"), spread, [*node, "next"], each, ["seg"], total=n), both.select(*branch, "cn", "pn"), branch, each, ["next"], total=n)
         common = shares.where("pn > cn").groupBy(*branch).agg(F.sum(F.least(F.col("n") / F.col("cn"), (F.col("total") - F.col("n")) / (F.col("pn") - F.col("cn")))).alias("common"))
         both = both.join(common, branch, "left")
         rest = F.col("pl") - F.col("cl")
@@ -133,11 +134,13 @@ def tree(pages: DataFrame) -> DataFrame:
         alike = (F.coalesce("common", F.lit(0.0)) >= SIMILAR) | ((F.col("cn") == 1) & (F.col("kids") >= MANY))
         literal = (F.col("seg") == "") | F.col("seg").startswith("*") | (F.col("kids") == 1) | apart | ~alike
         named = both.select(*branch, F.when(F.col("seg") == "", F.col("at")).otherwise(F.concat("at", F.lit("/"), F.when(literal, F.col("seg")).otherwise("*"))).alias("to"))
-        moved = spread_join(left, named, branch, each, ["key"]).select(*own, F.col("to").alias("at"), F.col("next"))
+        moved = spread_join(left, named, branch, left, ["key"]).select(*own, F.col("to").alias("at"), F.col("next"))
         moved, level = written(moved, "url-level"), level + 1
         ended = moved.where("next = ''").select(*own, F.col("at").alias("template"))
         done = ended if done is None else done.unionByName(ended)
         rows = moved.where("next <> ''").drop("next")
+        if rows.isEmpty():
+            break
         # a path that is alone below its node goes on as it is
         alone = rows.groupBy(*node).agg(F.count("*").alias("paths")).where("paths = 1").drop("paths")
         single = rows.join(alone, node, "left_semi").select(*own, F.concat_ws("/", "at", F.array_join(F.slice(segments, level + 1, 1 << 30), "/")).alias("template"))
