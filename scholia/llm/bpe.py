@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .pieces import PATTERN, cut, default_vocabulary, vocabulary
+from .pieces import PATTERN, default_vocabulary, vocabulary
 
-#: Pre-tokens, pieces between spaces and pairs that a worker remembers before it starts afresh (some 200 MB in all).
-WORDS, PIECES, PAIRS = 600_000, 250_000, 1_000_000
+#: Pre-tokens (in each of two generations) and pairs that a worker remembers before it starts afresh (some 300 MB in all).
+WORDS, PAIRS = 500_000, 1_000_000
 
 
 class Backtracking:
@@ -61,8 +61,8 @@ class Backtracking:
         self.compatible: dict[tuple[int, int], bool] = {}
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
-        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merges leave the border between tokens a and b: undo the later of the two merges, again and again."""
@@ -109,8 +109,16 @@ class Backtracking:
         whole = self.usable.get(raw)
         if whole is not None:
             return [whole]
-        longest, length, compatible = self.matches(raw.decode("latin-1")), self.length, self.compatible
-        out: list[int] = []
+        text, compatible = raw.decode("latin-1"), self.compatible
+        out = [token for _, (token, _) in self.automaton.iter_long(text)]  # the longest match, then the longest from its end, and so on
+        for pair in zip(out, out[1:]):
+            fits = compatible.get(pair)
+            if not (self.fits(*pair) if fits is None else fits):
+                break
+        else:
+            return out
+        longest, length = self.matches(text), self.length
+        out = []
         at, size, open_ = 0, len(raw), bytearray(b"\x01") * (len(raw) + 1)
         token, last = longest[0], -1
         while True:
@@ -140,20 +148,6 @@ class Backtracking:
         finally:
             self.order[a, b] = own
 
-    def piece(self, text: str) -> bytes:
-        """Ids of a text without special tokens, as little-endian unsigned 32-bit integers."""
-        words = self.words
-        out = []
-        for w in PATTERN.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                if len(words) > WORDS:
-                    words.clear()
-                own = self.word(w.encode())
-                ids = words[w] = _packed(len(own)).pack(*own)
-            out.append(ids)
-        return b"".join(out)
-
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
         if not text:
@@ -166,23 +160,26 @@ class Backtracking:
 
     def ordinary(self, text: str) -> bytes:
         """As `encode`, for a text without special tokens."""
-        pieces = cut(text)
-        if pieces is None:
-            return self.piece(text)
-        known = self.known
-        out = [self.piece(pieces[0])]
-        try:
-            out += [known[p] for p in pieces[1:]]
-        except KeyError:
-            if len(known) > PIECES:
-                known.clear()
-            for p in pieces[1:]:
-                if p not in known:
-                    known[p] = self.piece(" " + p)
-            del out[1:]
-            out += [known[p] for p in pieces[1:]]
+        words = PATTERN.findall(text)
+        out = list(map(self.known.get, words))
+        if None in out:
+            for i in [i for i, ids in enumerate(out) if ids is None]:
+                out[i] = self.remembered(words[i])
         return b"".join(out)
 
+    def remembered(self, word: str) -> bytes:
+        """Ids of a pre-token, kept in the younger of two generations."""
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                own = self.word(word.encode())
+                ids = _packed(len(own)).pack(*own)
+            if len(self.known) > WORDS:
+                self.known, self.older = {}, self.known
+            self.known[word] = ids
+        return ids
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 bytes of the text that the ids stand for."""
         tokens = np.frombuffer(ids, "<u4").astype(np.int64)
