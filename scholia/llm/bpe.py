@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .pieces import PATTERN, default_vocabulary, vocabulary
+from .pieces import PATTERN, cut, default_vocabulary, vocabulary
 
-#: Pre-tokens, pieces between spaces and pairs that a worker remembers before it starts afresh (some 300 MB in all).
-WORDS, PIECES, PAIRS = 500_000, 800_000, 1_000_000
+#: Pre-tokens, pieces between spaces and pairs that a worker remembers before it starts afresh (some 200 MB in all).
+WORDS, PIECES, PAIRS = 600_000, 250_000, 1_000_000
 
 
 class Backtracking:
@@ -61,8 +61,8 @@ class Backtracking:
         self.compatible: dict[tuple[int, int], bool] = {}
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merges leave the border between tokens a and b: undo the later of the two merges, again and again."""
@@ -97,22 +97,22 @@ class Backtracking:
             found = self.shorter[token] = next((i for k in ends if (i := self.usable.get(whole[:k])) is not None), -1)
         return found
 
+    def matches(self, word: str) -> list[int]:
+        """The longest token that begins at each position, from one pass of the automaton."""
+        longest = [-1] * len(word)
+        for end, (token, back) in self.automaton.iter(word):
+            longest[end - back] = token  # matches come by their ends, so later ones are longer
+        return longest
+
     def word(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.usable.get(raw)
         if whole is not None:
             return [whole]
-        text, compatible, length, search = raw.decode("latin-1"), self.compatible, self.length, self.automaton.iter_long
-        longest = [token for _, (token, _) in search(text)]  # the longest match, then the longest from its end, and so on
-        k = 0
-        for k, pair in enumerate(zip(longest, longest[1:]), 1):
-            fits = compatible.get(pair)
-            if not (self.fits(*pair) if fits is None else fits):
-                break
-        else:
-            return longest
-        out, size, open_ = longest[:k], len(raw), bytearray(b"\x01") * (len(raw) + 1)
-        at, last, token = sum(length[t] for t in out), out[-1], longest[k]
+        longest, length, compatible = self.matches(raw.decode("latin-1")), self.length, self.compatible
+        out: list[int] = []
+        at, size, open_ = 0, len(raw), bytearray(b"\x01") * (len(raw) + 1)
+        token, last = longest[0], -1
         while True:
             end = at + length[token]
             if open_[end]:
@@ -121,7 +121,7 @@ class Backtracking:
                     out.append(token)
                     if end == size:
                         return out
-                    at, last, token = end, token, next(search(text, end))[1][0]
+                    at, last, token = end, token, longest[end]
                     continue
             while (shorter := self.prefix(token)) < 0:
                 open_[at] = 0
@@ -140,6 +140,20 @@ class Backtracking:
         finally:
             self.order[a, b] = own
 
+    def piece(self, text: str) -> bytes:
+        """Ids of a text without special tokens, as little-endian unsigned 32-bit integers."""
+        words = self.words
+        out = []
+        for w in PATTERN.findall(text):
+            ids = words.get(w)
+            if ids is None:
+                if len(words) > WORDS:
+                    words.clear()
+                own = self.word(w.encode())
+                ids = words[w] = _packed(len(own)).pack(*own)
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
         if not text:
@@ -151,40 +165,22 @@ class Backtracking:
         return b"".join(special[p].to_bytes(4, "little") if p in special else self.ordinary(p) for p in splitter.split(text) if p)
 
     def ordinary(self, text: str) -> bytes:
-        """As `encode`, for a text without special tokens: its pieces as remembered, and those that aren't in one go."""
-        pieces = text.split(" ")
-        out = list(map(self.pieces.get, pieces))
-        out[0] = None
-        if None in out:
-            last = len(pieces) - 1
-            missing = [i for i, ids in enumerate(out) if ids is None][1:]
-            if any(not p or p[-1].isspace() for p in [pieces[i] for i in missing if i < last] + ([pieces[0]] if last and pieces[0] else [])):
-                return self.words(PATTERN.findall(text))  # a space after white space: the text can't be cut there
-            out[0] = self.words(PATTERN.findall(pieces[0]))
-            if missing and missing[-1] == last and (not pieces[last] or pieces[last][-1].isspace()):
-                out[last] = self.words(PATTERN.findall(" " + pieces[last]))  # not remembered: it can't stand before a space
-                missing.pop()
-            if missing:
-                words = PATTERN.findall(" " + " ".join([pieces[i] for i in missing]))
-                begin = [k for k, w in enumerate(words) if w[0] == " "]  # only a piece's first pre-token begins with a space
-                if len(self.pieces) > PIECES:
-                    self.pieces.clear()
-                for i, a, b in zip(missing, begin, [*begin[1:], len(words)]):
-                    out[i] = self.pieces[pieces[i]] = self.words(words[a:b])
-        return b"".join(out)
-
-    def words(self, words: list[str]) -> bytes:
-        """Ids of pre-tokens."""
-        out = list(map(self.known.get, words))
-        if None in out:
-            if len(self.known) > WORDS:
-                self.known.clear()
-            for i, w in enumerate(words):
-                if out[i] is None and (found := self.known.get(w)) is not None:
-                    out[i] = found
-                elif out[i] is None:
-                    own = self.word(w.encode())
-                    out[i] = self.known[w] = _packed(len(own)).pack(*own)
+        """As `encode`, for a text without special tokens."""
+        pieces = cut(text)
+        if pieces is None:
+            return self.piece(text)
+        known = self.known
+        out = [self.piece(pieces[0])]
+        try:
+            out += [known[p] for p in pieces[1:]]
+        except KeyError:
+            if len(known) > PIECES:
+                known.clear()
+            for p in pieces[1:]:
+                if p not in known:
+                    known[p] = self.piece(" " + p)
+            del out[1:]
+            out += [known[p] for p in pieces[1:]]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

@@ -23,15 +23,17 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import coder
 from .common import table, written
-from .pieces import default_vocabulary
+from .pieces import PATTERN, default_vocabulary, vocabulary
 
 #: The token after each document.
 END = 0
@@ -41,12 +43,50 @@ RULES: tuple[tuple[str, tuple[float, float, float]], ...] = (("norm", (1.0, 0.0,
 RANKED = 500_000
 
 
+class Encoder:
+    """Ids of whole texts: compiled merging by rank where that is exact, else the backtracking encoder.
+
+    Merging any two neighbours that make a token, by the token's id, is the same as merging by the listed pairs if ids follow the order of merges and
+    every token's own bytes give that token: neighbours that make a token have then been merged as those bytes by themselves are.
+    """
+
+    def __init__(self, path: str, by_rank: bool):
+        self.path, self.special = path, vocabulary(path)
+        self.ranked = tiktoken.Encoding("corpus", pat_str=PATTERN.pattern, mergeable_ranks=dict(self.special.ids), special_tokens={}) if by_rank else None
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if self.ranked is None or any(s in text for s in self.special.special):
+            return coder(self.path).encode(text)
+        try:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its pattern's stack doesn't take a million spaces in a row
+            return coder(self.path).encode(text)
+
+
+@lru_cache(maxsize=2)
+def by_rank(path: str) -> bool:
+    """Whether merging by rank is exact for that vocabulary."""
+    own = coder(path)
+    made = [own.joined[pair] for pair in own.vocabulary.merges]
+    return made == sorted(set(made)) and all(own.good[i] for i in own.vocabulary.ids.values())
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, ranked: bool) -> Encoder:
+    """The worker's encoder for that vocabulary."""
+    return Encoder(path, ranked)
+
+
 def pieces(docs: DataFrame, capacity: int = 2048, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's pieces."""
     path = vocabulary_path or default_vocabulary()
+    exact = by_rank(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = coder(path), END.to_bytes(4, "little")
+        own, end = encoder(path, exact), END.to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):

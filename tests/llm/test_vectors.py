@@ -118,7 +118,7 @@ def laid(found, capacity):
 
 def test_packing_of_texts(spark):
     own = random.Random(2)
-    texts = [None, "", " \n", "<|endoftext|> ü", *(" ".join(own.choice(["in", "antidisestablish", "é½", "the"]) for _ in range(own.randint(1, 90))) for _ in range(200)), "long " * 3000, "a" * 5000]
+    texts = [None, "", " \n", "<|endoftext|> ü", *(" ".join(own.choice(["in", "antidisestablish", "é½", "the"]) for _ in range(own.randint(1, 90))) for _ in range(200)), "long " * 3000, "a" * 5000, " " * 1_200_000 + "x", "a  b \n c\x85\x1c  "]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, piece int, length int").repartition(7)
     found = packing.packed(packing.pieces(docs, 64), 64).toPandas()
     want = library_pieces(texts, 64)
