@@ -16,7 +16,9 @@ Groups by content (`similar`, `keep_one`) take fingerprints over each text's dis
 of five words are shared, at a wider radius; and a candidate pair is a link if the sets of five-word shingles agree by 0.8 (Jaccard)
 or more. Texts of equal words are one class. So that a large group of near copies isn't expanded, each class first meets the first
 one, in a random order, of the buckets that it probes, twice in other orders; after that only candidates of different components are
-verified, all of them.
+verified, all of them. Candidates whose sketches already tell that they agree by less are left out first, which loses none: a sketch holds the parity
+of the shingles in each of SKETCH cells, so two sketches differ in at most as many cells as the sets in shingles, and sets of a and b shingles that
+agree by J differ in no more than (a + b)(1 - J) / (1 + J).
 
 Null texts are empty. Rows without a doc_id are left out. A doc_id that repeats gives a row for each of its rows. Empty tables give
 no rows. Texts of any length count whole; columns other than doc_id and text aren't read.
@@ -31,13 +33,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NARROW, components, spread_join, table, written
 
 #: Classes of texts that are sent to all tasks at most.
 FEW = 20_000
+#: Cells of a sketch, in longs of 64, and the columns that hold them with the number of shingles.
+SKETCH = 256
+PROFILE = ["n", *(f"s{k}" for k in range(SKETCH // 64))]
 #: What a candidate costs against a probe.
 CANDIDATE = 2.0
 
@@ -157,6 +162,17 @@ def keys(classes: DataFrame, plan: list[tuple[list[int], int]], probe: bool, als
     return classes.select("fp", *also).mapInArrow(run, "part byte, key long, fp long" + "".join(f", {c} long" for c in also))
 
 
+def once(plan: list[tuple[list[int], int]]) -> Column:
+    """Whether the row's part is the first in which the two fingerprints meet, so that a pair is told once."""
+    apart = F.col("fp").bitwiseXOR(F.col("ofp"))
+    masks = [int(np.array(sum(1 << b for b in part), np.uint64).view(np.int64)) for part, _ in plan]
+    meets = [F.bit_count(apart.bitwiseAND(F.lit(mask).cast("long"))) <= t for mask, (_, t) in zip(masks, plan)]
+    first = F.lit(len(plan) - 1)
+    for k in reversed(range(len(plan))):
+        first = F.when(meets[k], k).otherwise(first)
+    return F.col("part") == first
+
+
 def links(classes: DataFrame, radius: int = 3) -> DataFrame:
     """a < b: the distinct fingerprints of `classes(fp)` that differ in at most `radius` bits."""
     plan = allocate(*together(classes), radius)
@@ -177,21 +193,47 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (over the distinct words) and t (hash of all words in order) of every row with a doc_id."""
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted; fewer words than `size` are one shingle."""
+    some = (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 5) >> 32 for x in some), np.uint32))
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The parity of the hashes in each of SKETCH cells, as signed longs."""
+    odd = np.bincount(found % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def profiles(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, fp (over the distinct words), t (hash of all words in order), and the shingles' number and sketch, of every row with a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, whole = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            profile = np.zeros((len(PROFILE), batch.num_rows), np.int64)
             for i, text in enumerate(batch.column("text")):
                 words = (text.as_py() or "").encode().lower().split()
                 whole[i] = xxhash.xxh64_intdigest(b" ".join(words), 7)
+                found = shingles(words, size)
+                profile[:, i] = [len(found), *sketch(found)]
                 if words:
                     fp[i] = majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "fp", "t"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(whole.view(np.int64)), *map(pa.array, profile)], ["doc_id", "fp", "t", *PROFILE])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, t long")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, t long" + "".join(f", {c} long" for c in PROFILE))
+
+
+def other(columns: list[str]) -> list[Column]:
+    """The columns under the names of the other side: o before them."""
+    return [F.col(c).alias("o" + c) for c in columns]
+
+
+def may_agree(least: float) -> Column:
+    """Whether the sketches leave it open that the shingles agree by `least`."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("o" + c))) for c in PROFILE[1:]), F.lit(0))
+    return F.greatest(apart, F.abs(F.col("n") - F.col("on"))) <= (F.col("n") + F.col("on")) * F.lit((1 - least) / (1 + least) + 1e-9)
 
 
 def shingled(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -203,8 +245,7 @@ def shingled(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             for text, t in zip(batch.column("text"), batch.column("t").to_pylist()):
                 words = (text.as_py() or "").encode().lower().split()
                 keep.append(int(np.array(t, np.int64).view(np.uint64)) == xxhash.xxh64_intdigest(b" ".join(words), 7))
-                some = (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
-                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 5) >> 32 for x in some), np.uint32)).tobytes() if keep[-1] else b"")
+                out.append(shingles(words, size).tobytes() if keep[-1] else b"")
             yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("t"), pa.array(out, pa.binary())], ["fp", "t", "shingles"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = written(classes, "simhash-wanted", NARROW)
@@ -234,35 +275,36 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, l
     return written(both.select("fp", "t", "ofp", "ot", "shingles", "others").mapInArrow(run, "fp long, t long, ofp long, ot long"), "simhash-verified", NARROW)
 
 
-def node(fp: str, t: str) -> F.Column:
+def node(fp: str, t: str) -> Column:
     """A class as one value."""
     return F.concat(F.hex(F.col(fp)), F.lit(":"), F.hex(F.col(t)))
 
 
 def similar(docs: DataFrame, radius: int = 8, size: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
     """doc_id and lead of every row with a doc_id: the smallest doc_id of its group of texts linked by their shingles."""
-    rows = written(profiles(docs), "simhash-profiles", NARROW)
-    classes = written(rows.groupBy("fp", "t").agg(F.min("doc_id").alias("first")), "simhash-texts", NARROW)
+    rows = written(profiles(docs, size), "simhash-profiles", NARROW)
+    classes = written(rows.groupBy("fp", "t").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in PROFILE]), "simhash-texts", NARROW)
     plan = allocate(*together(classes), radius)
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius) & ((F.col("fp") != F.col("ofp")) | (F.col("t") != F.col("ot")))
-    looks = written(keys(classes, plan, True, ["t"]), "simhash-looks", NARROW)
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius) & ((F.col("fp") != F.col("ofp")) | (F.col("t") != F.col("ot"))) & may_agree(least)
+    own = ["fp", "t", *PROFILE]
+    looks = written(keys(classes, plan, True, own[1:]), "simhash-looks", NARROW)
     links = None
     for k in range(rounds):
         order = F.xxhash64("fp", "t", F.lit(k))
-        first = keys(classes, plan, False, ["t"]).groupBy("part", "key").agg(F.min(F.struct(order.alias("order"), F.col("fp").alias("ofp"), F.col("t").alias("ot"))).alias("x"))
-        met = spread_join(looks, first, ["part", "key"], looks, ["fp", "t"]).select("fp", "t", "x.*").where(near)
+        first = keys(classes, plan, False, own[1:]).groupBy("part", "key").agg(F.min(F.struct(order.alias("order"), *other(own))).alias("x"))
+        met = spread_join(looks, first, ["part", "key"], looks, ["fp", "t"]).select(*own, "x.*").where(near)
         best = met.groupBy("fp", "t").agg(F.min(F.struct("order", "ofp", "ot")).alias("x")).select("fp", "t", "x.ofp", "x.ot")
         found = verified(docs, classes, best, size, least)
         links = found if links is None else links.unionByName(found)
     edges = lambda links: links.select(node("fp", "t").alias("a"), node("ofp", "ot").alias("b"))
     groups = components(edges(links), "simhash-stars").withColumn("c", F.xxhash64("component"))
-    known = written(classes.withColumn("node", node("fp", "t")).join(groups, "node", "left").select("fp", "t", F.coalesce("c", F.xxhash64("node")).alias("c")), "simhash-known", NARROW)
-    filed = keys(known, plan, False, ["t", "c"]).withColumnsRenamed({"fp": "ofp", "t": "ot", "c": "oc"})
+    known = written(classes.withColumn("node", node("fp", "t")).join(groups, "node", "left").select(*own, F.coalesce("c", F.xxhash64("node")).alias("c")), "simhash-known", NARROW)
+    filed = keys(known, plan, False, [*own[1:], "c"]).select("part", "key", *other([*own, "c"]))
     ordered = (F.col("c") > F.col("oc")) & near
-    probes = keys(known, plan, True, ["t", "c"])
-    rest = spread_join(probes, filed, ["part", "key"], looks, ["fp", "t"]).where(ordered)
+    probes = keys(known, plan, True, [*own[1:], "c"])
+    rest = spread_join(probes, filed, ["part", "key"], looks, ["fp", "t"]).where(ordered & once(plan))
     # both orders are looked at by both sides, so one is enough
-    links = links.unionByName(verified(docs, classes, rest.select("fp", "t", "ofp", "ot").distinct(), size, least))
+    links = links.unionByName(verified(docs, classes, rest.select("fp", "t", "ofp", "ot"), size, least))
     groups = components(edges(links), "simhash-links")
     named = classes.withColumn("node", node("fp", "t")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = named.groupBy("component").agg(F.min("first").alias("lead"))
