@@ -43,8 +43,8 @@ FEW = 20_000
 #: Cells of a sketch, in longs of 64, and the columns that hold them with the number of shingles.
 SKETCH = 256
 PROFILE = ["n", *(f"s{k}" for k in range(SKETCH // 64))]
-#: What a candidate costs against a probe.
-CANDIDATE = 2.0
+#: What a candidate costs against a probe, and where it is only compared within the join, as nearly all are by their sketches.
+CANDIDATE, COMPARED = 2.0, 0.3
 
 
 def fingerprint(text: str | None) -> int:
@@ -114,7 +114,7 @@ def partitions(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def allocate(n: int, both: np.ndarray, radius: int = 3) -> list[tuple[list[int], int]]:
+def allocate(n: int, both: np.ndarray, radius: int = 3, candidate: float = CANDIDATE) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, at the least estimated cost over 1 to radius + 1 partitions."""
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
@@ -129,7 +129,7 @@ def allocate(n: int, both: np.ndarray, radius: int = 3) -> list[tuple[list[int],
                 reach[1:] = reach[1:] * (1 - differ[b]) + reach[:-1] * differ[b]
                 reach[0] *= 1 - differ[b]
             probes = np.cumsum([comb(len(part), t) for t in range(radius + 1)])
-            cost.append([0.0, *(n * (1.0 + probes) + CANDIDATE * n * n / 2 * np.cumsum(reach))])
+            cost.append([0.0, *(n * (1.0 + probes) + candidate * n * n / 2 * np.cumsum(reach))])
         # table[s]: least cost of the parts so far whose thresholds, each raised by one, add up to s
         total = radius - m + 1 + m
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -284,24 +284,23 @@ def similar(docs: DataFrame, radius: int = 8, size: int = 5, least: float = 0.8,
     """doc_id and lead of every row with a doc_id: the smallest doc_id of its group of texts linked by their shingles."""
     rows = written(profiles(docs, size), "simhash-profiles", NARROW)
     classes = written(rows.groupBy("fp", "t").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in PROFILE]), "simhash-texts", NARROW)
-    plan = allocate(*together(classes), radius)
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius) & ((F.col("fp") != F.col("ofp")) | (F.col("t") != F.col("ot"))) & may_agree(least)
-    own = ["fp", "t", *PROFILE]
-    looks = written(keys(classes, plan, True, own[1:]), "simhash-looks", NARROW)
+    plan = allocate(*together(classes), radius, COMPARED)
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius) & ((F.col("fp") != F.col("ofp")) | (F.col("t") != F.col("ot")))
+    looks = written(keys(classes, plan, True, ["t"]), "simhash-looks", NARROW)
     links = None
     for k in range(rounds):
         order = F.xxhash64("fp", "t", F.lit(k))
-        first = keys(classes, plan, False, own[1:]).groupBy("part", "key").agg(F.min(F.struct(order.alias("order"), *other(own))).alias("x"))
-        met = spread_join(looks, first, ["part", "key"], looks, ["fp", "t"]).select(*own, "x.*").where(near)
+        first = keys(classes, plan, False, ["t"]).groupBy("part", "key").agg(F.min(F.struct(order.alias("order"), *other(["fp", "t"]))).alias("x"))
+        met = spread_join(looks, first, ["part", "key"], looks, ["fp", "t"]).select("fp", "t", "x.*").where(near)
         best = met.groupBy("fp", "t").agg(F.min(F.struct("order", "ofp", "ot")).alias("x")).select("fp", "t", "x.ofp", "x.ot")
         found = verified(docs, classes, best, size, least)
         links = found if links is None else links.unionByName(found)
     edges = lambda links: links.select(node("fp", "t").alias("a"), node("ofp", "ot").alias("b"))
     groups = components(edges(links), "simhash-stars").withColumn("c", F.xxhash64("component"))
-    known = written(classes.withColumn("node", node("fp", "t")).join(groups, "node", "left").select(*own, F.coalesce("c", F.xxhash64("node")).alias("c")), "simhash-known", NARROW)
-    filed = keys(known, plan, False, [*own[1:], "c"]).select("part", "key", *other([*own, "c"]))
-    ordered = (F.col("c") > F.col("oc")) & near
-    probes = keys(known, plan, True, [*own[1:], "c"])
+    known = written(classes.withColumn("node", node("fp", "t")).join(groups, "node", "left").select("fp", "t", *PROFILE, F.coalesce("c", F.xxhash64("node")).alias("c")), "simhash-known", NARROW)
+    filed = keys(known, plan, False, ["t", "c", *PROFILE]).select("part", "key", *other(["fp", "t", "c", *PROFILE]))
+    ordered = (F.col("c") > F.col("oc")) & near & may_agree(least)
+    probes = keys(known, plan, True, ["t", "c", *PROFILE])
     rest = spread_join(probes, filed, ["part", "key"], looks, ["fp", "t"]).where(ordered & once(plan))
     # both orders are looked at by both sides, so one is enough
     links = links.unionByName(verified(docs, classes, rest.select("fp", "t", "ofp", "ot"), size, least))
