@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from ..operators import tree as T
 from ..session import stored
-from ..sources.markdown import FENCE, HEADING, ITEM, NUMBERED, QUOTE, RULE, TAG, UNDERLINE, markdown_blocks
+from ..sources.markdown import markdown_blocks
 from .registry import query
 from .relations import table
 
+# What the SQL takes for the lines of each kind; the texts below hold no others.
+FENCE = r"^ {0,3}(```|~~~)"
+QUOTE = r"^( {0,3}> ?)+"
+HEADING = r"^ {0,3}(#{1,6})([ \t]|$)"
+ITEM = r"^\s*([-*+]|[0-9]{1,9}[.)])([ \t]+|$)"
+NUMBERED = r"^\s*[0-9]"
+RULE = r"^ {0,3}((\* *){3,}|(- *){3,}|(_ *){3,})$"
+UNDERLINE = r"^ {0,3}(=+|-+)[ \t]*$"
+TAG = r"(?i)^ {0,3}<(!--|/?(div|p|table|tr|td|ul|ol|li|h[1-6]|section|article|pre|script|style|details|summary|iframe|form|hr|br)\b)"
+
 #: How the lines of a text become markdown, one after the other, again and again.
 SHAPES = ["# {}", "{}", "{}", "", "- {}", "  {}", "- {}", "", "  {}", "```", "# {}", "```", "{}", "===", "> {}", "{}", "", "    {}", "", "### {} ##", "1. {}", "---", "{}", "## {}", "#### {}", "##### {}", "<div>", "{}", "", "###### {}", "{}", "+ {}", "", "{}", "***", "{}", "---"]
 
@@ -41,12 +51,12 @@ MD_BLOCKS = rf"""raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d
 ), l10 AS (SELECT *, NOT code AND goes_on AND NOT was AND NOT html AND {_FIND(UNDERLINE)} AS under FROM l9
 ), l11 AS (SELECT *, plain AND NOT html AND NOT under AND NOT (NOT goes_on AND indent >= 4 AND NOT listed) AS words FROM l10
 ), l12 AS (SELECT *, level > 0 OR mark OR (words AND NOT goes_on) AS starts FROM l11
-), l13 AS (SELECT *, sum(starts::INT) {_UPTO} AS block, trim(CASE WHEN mark THEN regexp_replace(body, '{ITEM}', '') WHEN level > 0 THEN regexp_replace(regexp_replace(body, '^\s*#{{1,6}}[ \t]*', ''), '(^|[ \t]+)#+[ \t]*$', '') ELSE body END) AS said FROM l12
-), g AS (SELECT doc_id, block, arg_min(level, n) AS level, arg_min(mark, n) AS mark, arg_min(listed, n) AS listed, arg_min({_FIND(NUMBERED)}, n) AS numbered, coalesce(string_agg(said, chr(10) ORDER BY n) FILTER (NOT under), '') AS text,
+), l13 AS (SELECT *, sum(starts::INT) {_UPTO} AS block, last_value(CASE WHEN mark THEN {_FIND(NUMBERED)} END IGNORE NULLS) {_UPTO} AS numbered, trim(CASE WHEN mark THEN regexp_replace(body, '{ITEM}', '') WHEN level > 0 THEN regexp_replace(regexp_replace(body, '^\s*#{{1,6}}[ \t]*', ''), '(^|[ \t]+)#+[ \t]*$', '') ELSE body END) AS said FROM l12
+), g AS (SELECT doc_id, block, arg_min(level, n) AS level, arg_min(mark, n) AS mark, arg_min(listed, n) AS listed, arg_min(numbered, n) AS numbered, coalesce(string_agg(said, chr(10) ORDER BY n) FILTER (NOT under), '') AS text,
   max(CASE WHEN under THEN CASE WHEN {_FIND('^ {0,3}=')} THEN 1 ELSE 2 END END) AS below, min(lo) AS lo, max(lo + length(line)) AS hi FROM l13 WHERE starts OR words OR under GROUP BY doc_id, block
 ), k AS (SELECT *, CASE WHEN level > 0 THEN level ELSE coalesce(below, 0) END AS deep FROM g
 ), blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS ord, CASE WHEN deep > 0 THEN 'heading' WHEN listed THEN 'list_item' ELSE 'paragraph' END AS kind, deep::BIGINT AS level,
-  CASE WHEN deep = 0 AND listed AND mark THEN CASE WHEN numbered THEN 'ordered' ELSE 'bullet' END END AS list_kind, text, lo, hi FROM k WHERE text <> '' OR deep > 0)"""
+  CASE WHEN deep = 0 AND listed THEN CASE WHEN numbered THEN 'ordered' ELSE 'bullet' END END AS list_kind, text, lo, hi FROM k WHERE text <> '' OR deep > 0)"""
 
 
 @query(f"WITH {MD_BLOCKS} SELECT * FROM blocks")
@@ -55,6 +65,40 @@ def markdown_blocks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_blocks(markdown(spark, sf_dir))
 
 
+#: Shapes with lists in lists, fences within longer or other fences, and lists that begin at two; each text begins at another one.
+NESTED = ["- {}", "  - {}", "- {}", "", "2. {}", "{}", "```", "~~~", "# {}", "```", "## {}", "````", "```", "{}", "````", "{}", "3. {}", "", "4. {}", "   + {}", "", "     {}", "   + {}", "5. {}", "{}", "~~~", "``` {}", "~~~~", "", "- {}", "  ```", "  {}", "{}", "", "1) {}", "   2. {}", "", "   7. {}", "      {}", "        {}", "     {}", "- {}", "    {}", "", "        {}", "{}", "", "      {}", "+ {}", "# {}"]
+_NESTED = "[" + ", ".join(f"'{s}'" for s in NESTED) + "]"
+
+
+@query(rf"""WITH RECURSIVE src AS (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+), ls AS (SELECT doc_id, n, line, (coalesce(sum(length(line) + 1) {_BEFORE}, 0))::BIGINT AS lo FROM (SELECT doc_id, n, replace({_NESTED}[(n + doc_id) % {len(NESTED)} + 1], '{{}}', 'w' || rtrim(regexp_replace(' ' || said, '[^A-Za-z]+', ' ', 'g'))) AS line FROM src)
+), rec AS (
+  SELECT DISTINCT doc_id, 0::BIGINT AS n, []::STRUCT(w BIGINT, m VARCHAR)[] AS stack, '' AS fence, 0::BIGINT AS flen, 0::BIGINT AS fd, false AS para, NULL::VARCHAR AS listed, 0::BIGINT AS block, false AS member, 0::BIGINT AS level, ''::VARCHAR AS said, 0::BIGINT AS lo, 0::BIGINT AS hi FROM ls
+  UNION ALL
+  SELECT doc_id, n + 1, nstack, CASE WHEN closing THEN '' WHEN opener THEN rest[1] WHEN inside OR blank THEN fence ELSE '' END, CASE WHEN opener THEN length(regexp_extract(rest, '^(`+|~+)', 1)) ELSE flen END, CASE WHEN opener THEN k ELSE fd END,
+    item OR starts OR goes, nlisted, block + (item OR head OR starts)::INT, item OR head OR starts OR goes, CASE WHEN head THEN length(regexp_extract(rest, '^#+')) ELSE 0 END,
+    CASE WHEN item THEN substr(rest, length(mark) + 2) WHEN head THEN regexp_replace(rest, '^#+ ?', '') WHEN goes THEN repeat(' ', r) || rest ELSE rest END, own, own + length(line)
+  FROM (SELECT *, CASE WHEN item THEN list_concat(stack[1:k], [{{'w': (ind + length(mark) + 1)::BIGINT, 'm': right(mark, 1)}}]) WHEN opener OR head OR code OR starts THEN stack[1:k] ELSE stack END AS nstack,
+      CASE WHEN item AND k < len(stack) AND stack[k + 1].m = right(mark, 1) THEN CASE WHEN len(stack) = k + 1 THEN listed END WHEN item THEN CASE WHEN length(mark) > 1 THEN 'ordered' ELSE 'bullet' END
+        WHEN (opener OR head OR code OR starts) AND k < len(stack) THEN NULL ELSE listed END AS nlisted
+    FROM (SELECT *, text AND r >= 4 AND NOT para AS code, text AND para AS goes, text AND NOT para AND r < 4 AS starts
+      FROM (SELECT *, NOT (inside OR blank OR opener OR head OR item) AS text
+        FROM (SELECT *, inside AND r < 4 AND regexp_matches(rest, '^[`~]+$') AND rest[1] = fence AND length(rest) >= flen AS closing, free AND regexp_matches(rest, '^(```+[^`]*|~~~+.*)$') AS opener, free AND regexp_matches(rest, '^#{{1,6}}( |$)') AS head,
+            free AND mark <> '' AND NOT (para AND k = len(stack) AND length(mark) > 1 AND mark NOT IN ('1.', '1)')) AS item
+          FROM (SELECT *, NOT inside AND NOT blank AND r < 4 AS free, regexp_extract(rest, '^([-+*]|[0-9]{{1,9}}[.)]) ', 1) AS mark
+            FROM (SELECT *, fence <> '' AND k >= fd AS inside FROM (SELECT *, ind - CASE WHEN k > 0 THEN stack[k].w ELSE 0 END AS r
+              FROM (SELECT *, CASE WHEN blank THEN len(stack) ELSE len(list_filter(stack, lambda x: x.w <= ind)) END AS k
+                FROM (SELECT rec.*, line, ls.lo AS own, length(line) - length(ltrim(line)) AS ind, ltrim(line) AS rest, line = '' AS blank FROM rec JOIN ls USING (doc_id, n))))))))))
+), g AS (SELECT doc_id, block, arg_min(level, n) AS level, arg_min(listed, n) AS listed, trim(string_agg(said, chr(10) ORDER BY n), ' ' || chr(10)) AS text, min(lo) AS lo, max(hi) AS hi FROM rec WHERE member GROUP BY doc_id, block)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS ord, CASE WHEN level > 0 THEN 'heading' WHEN listed IS NULL THEN 'paragraph' ELSE 'list_item' END AS kind, level, CASE WHEN level = 0 THEN listed END AS list_kind, text, lo, hi FROM g""")
+def nested_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in lists, lists that begin at two and fences within fences, by a stack of containers (S3)."""
+    shapes = F.array(*map(F.lit, NESTED))
+    said = lambda line: F.concat(F.lit("w"), F.rtrim(F.regexp_replace(F.concat(F.lit(" "), line), "[^A-Za-z]+", " ")))
+    shaped = F.transform(F.split("text", "\n"), lambda line, i: F.replace(F.element_at(shapes, ((i + F.col("doc_id")) % len(NESTED) + 1).cast("int")), F.lit("{}"), said(line)))
+    return markdown_blocks(table(spark, sf_dir, "documents").select("doc_id", F.array_join(shaped, "\n").alias("text")))
+
+
 _LEVELS = range(1, 7)
 _SEEN = ", ".join(f"coalesce(max(CASE WHEN level = {k} THEN ord END) OVER w, -1) AS h{k}" for k in _LEVELS)
 _OPEN = ", ".join(f"CASE WHEN h{k} > {'greatest(' + ', '.join(['-1', *(f'h{j}' for j in range(1, k))]) + ')' if k > 1 else '-1'} AND (level = 0 OR level > {k}) THEN h{k} END" for k in _LEVELS)

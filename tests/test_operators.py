@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -134,10 +135,58 @@ def test_markdown_blocks(spark):
     text = "intro\nover two lines\n\n# One\n\n### Deep ###\n- item\n  goes on\n\n  its own paragraph\n1. first\n```\n# no heading\n```\n\nUnder\nlined\n===\n\n    code\n\n> said\n> more\n\n---\nlast"
     rows = markdown_blocks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")).orderBy("ord").collect()
     assert [(r.kind, r.level, r.text) for r in rows] == [("paragraph", 0, "intro\nover two lines"), ("heading", 1, "One"), ("heading", 3, "Deep"), ("list_item", 0, "item\ngoes on"), ("list_item", 0, "its own paragraph"), ("list_item", 0, "first"), ("heading", 1, "Under\nlined"), ("paragraph", 0, "said\nmore"), ("paragraph", 0, "last")]
-    assert [r.list_kind for r in rows[3:6]] == ["bullet", None, "ordered"]
+    assert [r.list_kind for r in rows[3:6]] == ["bullet", "bullet", "ordered"]
     assert text[rows[0].lo : rows[0].hi] == "intro\nover two lines" and text[rows[6].lo : rows[6].hi] == "Under\nlined\n==="
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("- a\n  - b\n- c", [("list_item", "a"), ("list_item", "b"), ("paragraph", "c")]),
+        ("```\n~~~\n# no\n```\nafter", [("paragraph", "after")]),
+        ("````\n```\n# no\n````\n# yes", [("heading", "yes")]),
+        ("a\n2. b\nc", [("paragraph", "a\n2. b\nc")]),
+        ("a\n1. b", [("paragraph", "a"), ("list_item", "b")]),
+        ("2. x\n3. y\n\n4) z", [("list_item", "x"), ("list_item", "y"), ("list_item", "z")]),
+        ("> - x\n> - y\nlazy\n\nz", [("list_item", "x"), ("list_item", "y\nlazy"), ("paragraph", "z")]),
+        ("> a\n---\n> ```\n# out", [("paragraph", "a"), ("heading", "out")]),
+        ("- ```\n  in\nout", [("paragraph", "out")]),
+        ("-\n  a\n-\n\n  b", [("list_item", "a"), ("paragraph", "b")]),
+        ("- \tx\n\n      y", [("list_item", "x"), ("list_item", "y")]),
+        ("[x]: /u 'ti'\n[y]: <z>\ntext\n\n[a]: /b", [("paragraph", "text")]),
+        ("<div>\n# no\n\n# yes ##\n<!-- a\n\n# no\n-->\nb", [("heading", "yes"), ("paragraph", "b")]),
+        ("* * *\n- - a\n  b\n+ c", [("list_item", "a\nb"), ("list_item", "c")]),
+        ("a\n===\n\n    code\nb\n    c\n---", [("heading", "a"), ("heading", "b\n    c")]),
+        ("#\n#x\n# y \\#\r", [("heading", ""), ("paragraph", "#x"), ("heading", "y \\#")]),
+    ],
+)
+def test_markdown_containers(text, want):
+    from scholia.sources.markdown import Scanner
+
+    assert [(b[0], b[3]) for b in Scanner().scan(text)] == want
+
+
+def test_aggregate_of_odd_responses(spark):
+    from scholia.operators import aggregate
+
+    refs = spark.createDataFrame([(r, f"d::{k}", k, "a.b.json", f" s{k} ") for r in range(6) for k in range(3)], "req_id int, ref_id string, ord int, source_filename string, label string")
+    said = [None, "[1]", '{"tree":{"a":1}}', '{"tree":[{"label":"x","children":[{"ref_id":"d::1"},{"ref_id":"d::1"}]},{"ref_id":""},"s"]}', '{"tree":[{"ref_id":"d::9"}],"organizing_principle":4}', '{"tree":[{"ref_id":"d::2"},{"children":[{"children":[{"ref_id":"d::0"}]}]},{"label":null,"ref_id":"d::1"}]}']
+    responses = spark.createDataFrame(list(enumerate(said)), "req_id int, response string")
+    rows = aggregate.trees(responses, refs).collect()
+    for r in range(6):
+        own = [x for x in rows if x.req_id == r]
+        assert sorted(x.ref_id for x in own if x.ref_id) == ["d::0", "d::1", "d::2"]
+        ids = {x.node_id: x for x in own}
+        assert len(ids) == len(own) and all(x.parent_id is None or ids[x.parent_id].level == x.level - 1 for x in own)
+    at = lambda r: sorted((x.node_id, x.label) for x in rows if x.req_id == r and x.kind != "root")
+    assert at(0) == at(1) == at(2) == [("agg_1", "a.b"), ("agg_1_1", "s0"), ("agg_1_2", "s1"), ("agg_1_3", "s2")]
+    assert at(3) == [("agg_1", "x"), ("agg_1_1", "s1"), ("root_2", "Senza categoria"), ("root_2_1", "s0"), ("root_2_2", "s2")]
+    assert at(4) == [("root_1", "Senza categoria"), ("root_1_1", "s0"), ("root_1_2", "s1"), ("root_1_3", "s2")]
+    assert at(5) == [("agg_1", "s2"), ("agg_2", "Categoria 2"), ("agg_2_1", "Categoria 1"), ("agg_2_1_1", "s0"), ("agg_3", "s1")]
+    heads = {r.req_id: (r.principle, len(r.warnings), r.n_dropped) for r in aggregate.headers(responses, refs).collect()}
+    assert heads == {0: ("structural", 1, 0), 1: ("structural", 1, 0), 2: ("structural", 1, 0), 3: ("topical", 1, 2), 4: ("topical", 2, 3), 5: ("topical", 0, 0)}
+
+
 def test_two_passes_boundaries(spark):
     from scholia.operators.tree import two_passes
 
