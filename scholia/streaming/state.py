@@ -1,6 +1,8 @@
 """Turns as a stream: per-concept state kept by Structured Streaming, and the trace log as an append-only sink.
 
-The watermark decides what happens to late turns: a turn later than it is dropped by the aggregation's state only, and still reaches the log.
+`resumed_attempts` starts from saved sessions, and holds turns back until the watermark has passed them, so that turns which come late and
+out of order get the numbers that they have in order of time; a turn later than the watermark is dropped. State that has had no turn
+for a time is cleared. `attempts_stream` is the plain form: no saved state, order within a micro-batch only.
 """
 
 from __future__ import annotations
@@ -8,13 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.evaluate import all_positive
 
 OUTPUT = "session long, node long, id long, attempt long, second boolean, failed_attempts long"
+SAVED = "session long, nodes array<struct<node: long, failed: long>>"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def attempts_stream(turns: DataFrame) -> DataFrame:
@@ -35,6 +40,87 @@ def attempts_stream(turns: DataFrame) -> DataFrame:
     return rows.groupBy("session", "node").applyInPandasWithState(step, OUTPUT, "failed long", "append", GroupStateTimeout.NoTimeout)
 
 
+class Attempts(StatefulProcessor):
+    """A session's node: its failures so far, and the turns that wait for the watermark."""
+
+    def __init__(self, idle: int):
+        self.idle = idle  # milliseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.failed = handle.getValueState("failed", "failed long, until long")
+        self.waiting = handle.getListState("waiting", "ts long, id long, ok boolean")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        self.failed.update((int(initialState["failed"].iloc[0]), 0))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = 0
+        for part in rows:
+            ts = part["ts"].astype("datetime64[us]").astype("int64")
+            self.waiting.appendList([(int(t), int(i), bool(ok)) for t, i, ok in zip(ts, part["id"], part["ok"])])
+            last = max(last, int(ts.max()))
+        self.handle.registerTimer(last // 1000 + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        failed, until = self.failed.get() if self.failed.exists() else (0, 0)
+        turns = sorted(self.waiting.get())
+        due = [t for t in turns if t[0] < passed * 1000]
+        out = []
+        for ts, turn, ok in due:
+            if until and ts // 1000 >= until:
+                failed = 0  # the state had been cleared by then
+            out.append((int(key[0]), int(key[1]), turn, failed + 1, failed >= 1, failed + (not ok)))
+            failed, until = failed + (not ok), ts // 1000 + self.idle
+        if len(due) < len(turns):
+            self.waiting.put(turns[len(due) :])
+        else:
+            self.waiting.clear()
+        if due:
+            self.failed.update((failed, until))
+            self.handle.registerTimer(until)
+        elif until and until <= passed:
+            self.failed.clear()
+        yield pd.DataFrame(out, columns=["session", "node", "id", "attempt", "second", "failed_attempts"])
+
+    def close(self) -> None:
+        pass
+
+
+def read_sessions(lines: DataFrame) -> DataFrame:
+    """session, node, failed of saved sessions, a JSON text each in `lines(value)`; of unreadable ones nothing, so that they start afresh."""
+    saved = lines.select(F.from_json("value", SAVED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("s")).where("s.session is not null and s.nodes is not null")
+    return saved.select("s.session", F.explode("s.nodes").alias("n")).select("session", "n.node", "n.failed").where("node is not null and failed is not null")
+
+
+def resumed_attempts(turns: DataFrame, saved: DataFrame, late: str, idle_days: int = 365) -> DataFrame:
+    """As `attempts_stream`, from saved(session, node, failed), for turns that are up to `late` out of order.
+
+    The session needs the state store STORE.
+    """
+    rows = turns.withWatermark("ts", late).withColumn("ok", all_positive(F.col("c"), F.col("k"), F.col("e"))).select(F.col("session").cast("long").alias("session"), F.col("node").cast("long").alias("node"), "ts", "id", "ok")
+    first = saved.select("session", "node", "failed").groupBy("session", "node")
+    return rows.groupBy("session", "node").transformWithStateInPandas(Attempts(idle_days * 86_400_000), OUTPUT, "append", "eventTime", initialState=first)
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs the stream over what there is now into Parquet at `path`, and reads that."""
+    spark: SparkSession = stream.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    try:
+        run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def turn_rates(turns: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Turns and failures of each window of event time, with a watermark."""
     ok = all_positive(F.col("c"), F.col("k"), F.col("e"))
