@@ -162,3 +162,26 @@ def judged_open(turns: DataFrame, judgments: DataFrame) -> DataFrame:
     """`turns` with the external judgment(id, c, k, e) of each; there's no fallback, so a missing or odd one is an error."""
     rows = turns.join(judgments, "id", "left")
     return rows.withColumn("error", F.when(~valid_open(F.col("c"), F.col("k"), F.col("e")), "no valid judgment"))
+
+
+# Words that a message must not say, as they tell how it was judged.
+BARRED = ["completezza", "correttezza", "elaborazione", "rubric", "punteggio", "score", "alta", "parziale", "assente", "rielaborata", "riportata", "voto", "punti"]
+
+
+def message_faults(message: Column, pointer: Column) -> Column:
+    """What a message does that it must not: barred (words of the rubric, grades), long (over three sentences), empty, unpointed (without the pointer, where one is given)."""
+    sentences = F.size(F.filter(F.split(message, r"[.!?]+(\s|$)"), lambda s: F.trim(s) != ""))
+    grade = F.lower(message).rlike(r"\b(" + "|".join(BARRED) + r")\b|\d+ (out of|su) \d+|\d+ ?%")
+    faults = F.array(
+        F.when(grade, "barred"),
+        F.when(sentences > 3, "long"),
+        F.when(sentences == 0, "empty"),
+        F.when(~F.contains(message, pointer), "unpointed"),
+    )
+    return F.array_compact(faults)
+
+
+def chosen_message(answer: Column, fallback: Column, pointer: Column) -> Column:
+    """A model's message, stripped, if it is one and has no fault; else the one without a model."""
+    said = F.trim(F.coalesce(answer, F.lit("")))
+    return F.when(F.size(message_faults(said, pointer)) == 0, said).otherwise(fallback)

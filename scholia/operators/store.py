@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def latest(rows: DataFrame, keys: list[str], when: str, tie: str) -> DataFrame:
     """The newest row of each key: a grouped maximum, so hot keys are combined before the shuffle."""
@@ -53,3 +56,28 @@ def of_types(artifacts: DataFrame, wanted: list[str]) -> DataFrame:
 def newest_first(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """`rows` with their place within the key, the newest first."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), tie)).cast("long"))
+
+
+def annotate(path: str, edits: DataFrame, buckets: int = 16) -> DataFrame:
+    """Merges edits(material, node, html, at, seq) into the annotations at `path`, and reads what stands.
+
+    The last edit of a node counts, by `at`, then `seq`; an empty or null html deletes. Deletions are kept as such, so that an older edit that comes
+    later doesn't bring the node back. Only the buckets of materials that the edits touch are rewritten, from a table written before.
+    """
+    spark = edits.sparkSession
+    rows = edits.select("material", "node", "html", "at", "seq").withColumn("bucket", F.pmod(F.xxhash64("material"), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.schema(rows.schema).parquet(path)
+        touched = rows.select("bucket").distinct()
+        rows = rows.unionByName(old.join(F.broadcast(touched), "bucket", "left_semi"))  # at most `buckets` rows
+    except AnalysisException:  # nothing there yet
+        pass
+    merged = stored(latest(rows, ["material", "node", "bucket"], "at", "seq"), "annotations")
+    merged.select("material", "node", "html", "at", "seq", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return annotations(spark.read.schema(merged.schema).parquet(path))
+
+
+def annotations(rows: DataFrame) -> DataFrame:
+    """Each material's map of nodes to their html, by node."""
+    standing = rows.where("html <> ''").groupBy("material").agg(F.array_sort(F.collect_list(F.struct("node", "html"))).alias("all"))
+    return standing.select("material", F.map_from_entries("all").alias("html"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..operators import quiz as Q
 from ..operators import tree as T
-from ..session import stored
+from ..session import scratch, stored
+from ..sources import documents as D
 from .registry import query
 from .relations import NODES, nodes, table
 
@@ -83,3 +85,34 @@ FROM h JOIN n USING (req_id) LEFT JOIN d USING (req_id)""")
 def aggregate_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the trees are organised by, why, over how many sources and references, and what was wrong."""
     return A.headers(*asked(spark, sf_dir)).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@query(f"""WITH RECURSIVE {TREES} SELECT t.req_id, count(*) FILTER (kind <> 'root') AS n_nodes, count(ref_id) AS n_refs, string_agg(label, '|' ORDER BY node_id) FILTER (level = 1) AS labels FROM tree t GROUP BY t.req_id""")
+def written_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-document trees written as JSON, a line each, and read back (K2)."""
+    responses, refs = asked(spark, sf_dir)
+    found = stored(A.trees(responses, refs), "trees")
+    place = F.coalesce(F.regexp_extract("node_id", "([0-9]+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+    shaped = found.select(F.col("req_id").alias("doc_id"), "node_id", "parent_id", place.alias("child_ord"), F.array_repeat(F.lit("x"), F.col("level") + 1).alias("path"), "kind", "label", F.col("ref_id").alias("text"))
+    path = scratch(spark, "aggregates")
+    header = A.headers(responses, refs).withColumnRenamed("req_id", "doc_id")
+    D.nested(shaped, 4).join(header, "doc_id").select(F.to_json(F.struct("doc_id", "principle", "rationale", "warnings", "tree")).alias("value")).write.text(path)
+    read = spark.read.text(path).select(F.from_json("value", "doc_id string, tree string").alias("x")).select("x.doc_id", F.try_parse_json("x.tree").alias("v"))
+    tops = F.try_variant_get("v", "$.children", "array<variant>")
+    labels = F.array_join(F.transform(F.array_sort(F.transform(tops, lambda t: F.struct(F.try_variant_get(t, "$.node.node_id", "string").alias("id"), F.try_variant_get(t, "$.node.label", "string").alias("label")))), lambda x: x["label"]), "|")
+    said = F.to_json("v")
+    return read.select(F.col("doc_id").alias("req_id"), (F.regexp_count(said, F.lit('"node_id":')) - 1).cast("long").alias("n_nodes"), F.regexp_count(said, F.lit('"kind":"ref"')).cast("long").alias("n_refs"), labels.alias("labels"))
+
+
+@query("""SELECT n_nationkey AS quiz, n_name AS filename, count(*) FILTER (c_custkey % 6 <> 0) AS n_produced, count(*) AS n_requested, coalesce(string_agg(c_name, '|' ORDER BY c_custkey) FILTER (c_custkey % 6 <> 0), '') AS fronts FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
+def written_quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quizzes with their valid items written as JSON, a line each, and read back (K3)."""
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    item = F.struct(F.col("c_name").alias("front"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")).otherwise(" ").alias("back"), *[F.lit(None).cast("string").alias(c) for c in ("question", "expected_answer", "correct_index")], F.lit(None).cast("array<string>").alias("key_points"), F.lit(None).cast("array<string>").alias("options"))
+    rows = rows.withColumn("item", item).withColumn("good", Q.valid(F.lit("f"), F.col("item")))
+    kept = F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("c_custkey", F.struct("item.front", "item.back").alias("item")))))
+    quizzes = rows.groupBy("n_nationkey", "n_name").agg(F.transform(kept, lambda x: x["item"]).alias("items"), F.count("*").alias("n_requested"))
+    path = scratch(spark, "quizzes")
+    quizzes.select(F.col("n_nationkey").alias("quiz"), F.struct(F.col("n_name").alias("filename")).alias("source"), F.struct("n_requested", F.size("items").alias("n_produced")).alias("metadata"), "items").write.json(path)
+    read = spark.read.schema("quiz int, source struct<filename: string>, metadata struct<n_requested: long, n_produced: long>, items array<struct<front: string, back: string>>").json(path)
+    return read.select("quiz", "source.filename", "metadata.n_produced", "metadata.n_requested", F.array_join("items.front", "|").alias("fronts"))

@@ -155,3 +155,19 @@ def newest_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each subject's materials, the newest first (O1, R2)."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("material_id"), F.col("o_orderdate").alias("uploaded_at"))
     return store.newest_first(rows, "subject_id", "uploaded_at", "material_id")
+
+
+#: What a model answers, by the turn's number; @ is where to look.
+ANSWERS = ["Well done. Look at @!", "Your score is 7. See @.", "No pointer here.", " ", "One. Two. Three. See @.", "Rivedi @: il tuo voto non conta.", "You got 3 out of 5, see @.", "Altalena? Guarda @."]
+
+
+@query(f"""WITH {EVALUATED}, a AS (SELECT id, node, CASE WHEN id % 9 <> 8 THEN replace([{', '.join("'" + a + "'" for a in ANSWERS)}][id % 9 + 1], '@', 'p.' || node) END AS raw, CASE WHEN id % 4 <> 0 THEN 'p.' || node END AS pointer FROM evaluated
+), b AS (SELECT *, trim(coalesce(raw, '')) AS said FROM a), f AS (SELECT *, concat_ws(',', CASE WHEN regexp_matches(lower(said), '\\b({'|'.join(E.BARRED)})\\b|\\d+ (out of|su) \\d+|\\d+ ?%') THEN 'barred' END, CASE WHEN len(regexp_extract_all(said, '[^.!? ]+[.!?]+( |$)')) > 3 THEN 'long' END, CASE WHEN said = '' THEN 'empty' END, CASE WHEN NOT contains(said, pointer) THEN 'unpointed' END) AS faults FROM b)
+SELECT id, faults, CASE WHEN faults = '' THEN said ELSE 'fallback' END AS message FROM f""")
+def checked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a model held to what they may say, else replaced."""
+    rows = turns(spark, sf_dir).select("id", "node")
+    pointer = F.when(F.col("id") % 4 != 0, F.concat(F.lit("p."), "node"))
+    raw = F.replace(F.try_element_at(F.array(*map(F.lit, ANSWERS)), (F.col("id") % 9 + 1).cast("int")), F.lit("@"), F.concat(F.lit("p."), "node"))
+    faults = E.message_faults(F.trim(F.coalesce(raw, F.lit(""))), pointer)
+    return rows.select("id", F.array_join(faults, ",").alias("faults"), E.chosen_message(raw, F.lit("fallback"), pointer).alias("message"))

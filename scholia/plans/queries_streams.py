@@ -47,3 +47,29 @@ def resumed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
     found = S.resumed_attempts(stream, S.read_sessions(spark.read.text(saved)), f"{LATE} seconds")
     return S.drained(found, scratch(spark, "attempts"), scratch(spark, "attempts-checkpoint"))
+
+
+def _feed(rows: DataFrame, label: str) -> DataFrame:
+    """The rows as a stream of files."""
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
+@query(f"""WITH {TURNS}, w AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS turns, count(*) FILTER (NOT (c = 'alta' AND k = 'corretta' AND e = 'rielaborata')) AS failed FROM turns GROUP BY ALL)
+SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, turns, failed FROM w WHERE hour + INTERVAL 70 MINUTE <= (SELECT max(ts) FROM turns)""")
+def hourly_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and failures of each hour that the watermark has closed, as a stream."""
+    rows = turns(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "c", "k", "e")
+    found = S.drained(S.turn_rates(_feed(rows, "turns")), scratch(spark, "rates"), scratch(spark, "rates-checkpoint"))
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "turns", "failed")
+
+
+@query(f"""WITH {TURNS} SELECT session, count(*) AS n, min(id) AS first, max(id) AS last, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS at FROM turns GROUP BY session""")
+def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace events appended as JSON below a folder for each session by a stream, and read back (K4)."""
+    rows = turns(spark, sf_dir).select("session", "id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "c", "k", "e")
+    path = scratch(spark, "traces")
+    S.trace_sink(_feed(rows, "events"), path, scratch(spark, "traces-checkpoint")).awaitTermination()
+    read = spark.read.schema("id long, at string, c string, k string, e string, session long").json(path)
+    return read.groupBy("session").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.max("at").alias("at"))

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import queries_aggregate, queries_ancestry, queries_answers, queries_files, queries_markdown, queries_sources, queries_state, queries_streams, queries_text, queries_tree  # noqa: E402,F401
+from . import queries_aggregate, queries_ancestry, queries_answers, queries_files, queries_markdown, queries_sources, queries_state, queries_streams, queries_text, queries_transcripts, queries_tree  # noqa: E402,F401
