@@ -15,7 +15,7 @@ verified by their whole distance in the join. Equal fingerprints are one class,
 Groups by content (`similar`, `keep_one`) take fingerprints over each text's distinct words instead, which stay near where shingles
 of five words are shared, at a wider radius; and a candidate pair is a link if the sets of five-word shingles agree by 0.8 (Jaccard)
 or more. Texts of equal words are one class. So that a large group of near copies isn't expanded, each class first meets the first
-one, in a random order, of the buckets that it probes, twice in other orders; after that only candidates of different components are
+one, in a random order, of its own buckets, four times in other orders; after that only candidates of different components are
 verified, all of them. Candidates whose sketches already tell that they agree by less are left out first, which loses none: a sketch holds the parity
 of the shingles in each of SKETCH cells, so two sketches differ in at most as many cells as the sets in shingles, and sets of a and b shingles that
 agree by J differ in no more than (a + b)(1 - J) / (1 + J).
@@ -44,7 +44,7 @@ FEW = 20_000
 SKETCH = 256
 PROFILE = ["n", *(f"s{k}" for k in range(SKETCH // 64))]
 #: What a candidate costs against a probe, and where it is only compared within the join, as nearly all are by their sketches.
-CANDIDATE, COMPARED = 2.0, 0.3
+CANDIDATE, COMPARED = 2.0, 0.1
 
 
 def fingerprint(text: str | None) -> int:
@@ -280,17 +280,17 @@ def node(fp: str, t: str) -> Column:
     return F.concat(F.hex(F.col(fp)), F.lit(":"), F.hex(F.col(t)))
 
 
-def similar(docs: DataFrame, radius: int = 8, size: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
+def similar(docs: DataFrame, radius: int = 8, size: int = 5, least: float = 0.8, rounds: int = 4) -> DataFrame:
     """doc_id and lead of every row with a doc_id: the smallest doc_id of its group of texts linked by their shingles."""
     rows = written(profiles(docs, size), "simhash-profiles", NARROW)
     classes = written(rows.groupBy("fp", "t").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in PROFILE]), "simhash-texts", NARROW)
     plan = allocate(*together(classes), radius, COMPARED)
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius) & ((F.col("fp") != F.col("ofp")) | (F.col("t") != F.col("ot")))
-    looks = written(keys(classes, plan, True, ["t"]), "simhash-looks", NARROW)
+    looks = written(keys(classes, plan, False, ["t"]), "simhash-looks", NARROW)
     links = None
     for k in range(rounds):
         order = F.xxhash64("fp", "t", F.lit(k))
-        first = keys(classes, plan, False, ["t"]).groupBy("part", "key").agg(F.min(F.struct(order.alias("order"), *other(["fp", "t"]))).alias("x"))
+        first = looks.groupBy("part", "key").agg(F.min(F.struct(order.alias("order"), *other(["fp", "t"]))).alias("x"))
         met = spread_join(looks, first, ["part", "key"], looks, ["fp", "t"]).select("fp", "t", "x.*").where(near)
         best = met.groupBy("fp", "t").agg(F.min(F.struct("order", "ofp", "ot")).alias("x")).select("fp", "t", "x.ofp", "x.ot")
         found = verified(docs, classes, best, size, least)
