@@ -1,58 +1,139 @@
-"""Ancestors of nodes that know only their parent, by pointer doubling, and what follows from them.
-
-Each round joins every open node to the one it points at and takes over its pointer, so pointers double their reach and a tree of depth
-d takes log2(d) rounds; each round is a written table. A round that closes no node proves that the rest never reach a root: they
-lie in a cycle or below one, and are told so instead of being followed. Only open nodes take part in the next round; a parent
-of many children is one row against many, which Spark's skew handling splits.
+"""Ancestors of nodes that know only their parent, and what follows from them.
+
+Lines up are first followed within pieces of the rows as they lie, as parents mostly lie near their children; where a line leaves its piece, or
+gets longer than LONGEST, it ends with a pointer to a node elsewhere. Of these targets, each once, the rest of the line is found by pointer
+doubling: each round joins every open target to the one it points at and takes over its pointer, so a line of d targets takes log2(d)
+rounds; each round is a written table. A round that closes no target proves that the rest never reach a root: they lie in a cycle or below
+one, and are told so instead of being followed. That is found out by the pointers alone, before paths are put together, as a cycle's would double
+in every round. Only open targets take part in the next round; a target of many lines is one row against many, which Spark's skew handling splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 
+#: Rows of a piece, and nodes of a line within one at most.
+PIECE, LONGEST = 1 << 16, 32
+
 
 def paths(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, path (from the top to the node) and fault of `nodes(doc_id, node_id, parent_id)`.
 
     fault: `orphan` where the line up ends at a parent that isn't there (the path begins below it), `cycle` where it never ends (no
     path), else null. Of rows that repeat a node's id, the one with the smallest parent counts; null ids are left out.
+    `nodes` is read twice, so it should be a written table.
     """
-    rows = nodes.where("node_id is not null").groupBy("doc_id", "node_id").agg(F.min(F.struct(F.col("parent_id").isNotNull().alias("has"), "parent_id")).alias("p"))
-    rows = rows.select("doc_id", "node_id", F.col("p.parent_id").alias("to"), F.array("node_id").alias("path"))
-    closed = rows.where("to is null").withColumn("fault", F.lit(None).cast("string"))
-    known = stored(closed.select("doc_id", "node_id", "path", "fault"), "paths-closed")
-    open_ = stored(rows.where("to is not null"), "paths-open")
-    parts, left = [known], open_.count()
+    near = stored(followed(once(nodes)), "paths-near", "zstd")
+    targets = stored(near.where("to is not null").select("doc_id", F.col("to").alias("node_id")).distinct(), "paths-targets")
+    if targets.isEmpty():
+        return near.drop("to")
+    there = stored(near.join(targets, ["doc_id", "node_id"]).withColumn("there", F.lit(True)), "paths-there")
+    lines = targets.join(there, ["doc_id", "node_id"], "left").withColumn("fault", F.when(F.col("there").isNull(), "orphan").otherwise(F.col("fault")))
+    lines = stored(lines.select("doc_id", "node_id", "to", F.when(F.col("there").isNull(), F.array().cast("array<string>")).otherwise(F.col("path")).alias("path"), "fault"), "paths-lines")
+    ends = stored(resolved(lines), "paths-ends")
+    end = ends.select("doc_id", F.col("node_id").alias("to"), F.col("path").alias("up"), F.col("fault").alias("end"))
+    far = near.where("to is not null").drop("fault").join(end, ["doc_id", "to"])  # without the targets' path (a cycle) there is none
+    return near.where("to is null").drop("to").unionByName(far.select("doc_id", "node_id", F.concat("up", "path").alias("path"), F.col("end").alias("fault")))
+
+
+def once(nodes: DataFrame) -> DataFrame:
+    """Each node once, with its smallest parent. Only ids of which a hash comes twice are shuffled; the others' rows stay as they lie."""
+    rows = nodes.where("node_id is not null").select("doc_id", "node_id", "parent_id")
+    own = F.xxhash64("doc_id", "node_id").alias("own")
+    often = stored(rows.select(own).groupBy("own").agg(F.count("*").alias("n")).where("n > 1").select("own"), "paths-often")
+    if often.isEmpty():
+        return rows
+    rows = rows.withColumn("own", own)
+    least = rows.join(often, "own", "left_semi").groupBy("doc_id", "node_id").agg(F.min(F.struct(F.col("parent_id").isNotNull().alias("has"), "parent_id")).alias("p"))
+    return rows.join(often, "own", "left_anti").drop("own").unionByName(least.select("doc_id", "node_id", "p.parent_id"))
+
+
+def followed(rows: DataFrame) -> DataFrame:
+    """doc_id, node_id, path, to and fault: lines up within pieces of PIECE rows, and the node elsewhere that a line's top points at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PIECE:
+                yield from piece(pa.Table.from_batches(held)).to_batches()
+                held = []
+        if held:
+            yield from piece(pa.Table.from_batches(held)).to_batches()
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"doc_id {kind['doc_id']}, node_id {kind['node_id']}, path array<{kind['node_id']}>, to {kind['parent_id']}, fault string")
+
+
+def piece(rows: pa.Table) -> pa.Table:
+    """`followed` of one piece."""
+    rows = rows.combine_chunks()
+    n = rows.num_rows
+    if not n:
+        return pa.table([rows.column("doc_id"), rows.column("node_id"), pa.array([], pa.list_(rows.schema.field("node_id").type)), rows.column("parent_id"), pa.array([], pa.string())], ["doc_id", "node_id", "path", "to", "fault"])
+    # a text's number ends before the first NUL, so that no two keys are alike; keys with a null are null, and stand nowhere
+    doc = pc.cast(pc.dictionary_encode(rows.column("doc_id").combine_chunks()).indices, pa.string())
+    own, above = (pc.binary_join_element_wise(doc, pc.cast(rows.column(c).combine_chunks(), pa.string()), "\0") for c in ("node_id", "parent_id"))
+    parent = np.array(pc.fill_null(pc.index_in(above, own, skip_nulls=True), n).to_numpy(zero_copy_only=False), np.int64)  # n: none here
+    up = np.append(parent, n)
+    depth = (up < n).astype(np.int64)
+    for _ in range(n.bit_length()):
+        depth, up = depth + depth[up], up[up]
+    cycle, depth = up[:n] < n, depth[:n]
+    parent[cycle | (depth % LONGEST == 0)] = n
+    size = np.where(cycle, 0, depth % LONGEST + 1)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    flat, top = np.empty(bounds[-1], np.int64), np.arange(n)
+    line = np.flatnonzero(~cycle)
+    at, slot = line, bounds[1:][line] - 1
+    while len(line):
+        flat[slot], top[line] = at, at
+        at = parent[at]
+        on = at < n
+        line, at, slot = line[on], at[on], slot[on] - 1
+    astray = np.asarray(rows.column("doc_id").is_null()) & np.asarray(rows.column("parent_id").is_valid())  # without a doc_id, no parent is found
+    ids, to = rows.column("node_id").combine_chunks(), rows.column("parent_id").combine_chunks().take(pa.array(top, mask=cycle | astray))
+    path = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids.take(pa.array(flat)), mask=pa.array(cycle))
+    return pa.table([rows.column("doc_id"), ids, path, to, pa.array(np.where(cycle, "cycle", np.where(astray, "orphan", None)), pa.string())], ["doc_id", "node_id", "path", "to", "fault"])
+
+
+def resolved(lines: DataFrame) -> DataFrame:
+    """doc_id, node_id, path and fault of `lines(doc_id, node_id, to, path, fault)` followed from `to` to `to` until it is null."""
+    if lines.where("to is not null").isEmpty():
+        return lines.drop("to")
+    _, endless = doubled(lines.withColumn("path", F.when(F.col("path").isNotNull(), F.array().cast("array<string>"))))
+    parts, _ = doubled(lines.join(endless, ["doc_id", "node_id"], "left_anti"))
+    out = endless.select("doc_id", "node_id", F.lit(None).cast("array<string>").alias("path"), F.lit("cycle").alias("fault"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def doubled(lines: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The lines that end (doc_id, node_id, path, fault), by rounds, and the ids of those that don't."""
+    parts, open_ = [lines.where("to is null").select("doc_id", "node_id", "path", "fault")], lines.where("to is not null").select("doc_id", "node_id", "to", "path")
+    left = open_.count()
     while left:
-        above = open_.select("doc_id", F.col("node_id").alias("to"), F.col("to").alias("next"), F.col("path").alias("up"), F.lit(None).cast("string").alias("old"), F.lit(False).alias("done"))
+        above = open_.select("doc_id", F.col("node_id").alias("to"), F.col("to").alias("next"), F.col("path").alias("up"), F.lit(None).cast("string").alias("fault"))
         for part in parts:
-            above = above.unionByName(part.select("doc_id", F.col("node_id").alias("to"), F.lit(None).cast("string").alias("next"), F.col("path").alias("up"), F.col("fault").alias("old"), F.lit(True).alias("done")))
-        step = open_.join(above, ["doc_id", "to"], "left")
-        step = stored(
-            step.select(
-                "doc_id",
-                "node_id",
-                F.col("next").alias("to"),
-                F.concat(F.coalesce("up", F.array().cast("array<string>")), "path").alias("path"),
-                F.when(F.col("done").isNull(), "orphan").otherwise(F.col("old")).alias("fault"),
-                (F.col("done").isNull() | F.col("done")).alias("closed"),
-            ),
-            "paths-step",
-        )
-        parts.append(step.where("closed").select("doc_id", "node_id", "path", "fault"))
-        open_ = step.where("not closed").select("doc_id", "node_id", "to", "path")
+            above = above.unionByName(part.select("doc_id", F.col("node_id").alias("to"), F.lit(None).alias("next"), F.col("path").alias("up"), "fault"))
+        step = open_.join(above, ["doc_id", "to"]).select("doc_id", "node_id", F.col("next").alias("to"), F.concat("up", "path").alias("path"), "fault")
+        step = stored(step, "paths-step", "zstd")
+        parts.append(step.where("to is null").select("doc_id", "node_id", "path", "fault"))
+        open_ = step.where("to is not null").select("doc_id", "node_id", "to", "path")
         now = open_.count()
         if now == left:
             break
         left = now
-    cycles = open_.select("doc_id", "node_id", F.lit(None).cast("array<string>").alias("path"), F.lit("cycle").alias("fault"))
-    out = cycles
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    return parts, open_.select("doc_id", "node_id")
 
 
 def breadcrumbs(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -70,7 +151,9 @@ def breadcrumbs(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 def lowest_common(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """`pairs(doc_id, a, b)` with their lowest common ancestor (either may be it) and the steps between them; null in different trees."""
-    side = lambda c: found.select("doc_id", F.col("node_id").alias(c), F.col("path").alias("path_" + c))
+    ends = pairs.select("doc_id", F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    asked = stored(found.select("doc_id", "node_id", "path").join(ends, ["doc_id", "node_id"], "left_semi"), "paths-asked", "zstd")  # all paths move once, those asked for again
+    side = lambda c: asked.select("doc_id", F.col("node_id").alias(c), F.col("path").alias("path_" + c))
     rows = pairs.join(side("a"), ["doc_id", "a"], "left").join(side("b"), ["doc_id", "b"], "left")
     shared = F.aggregate(F.arrays_zip("path_a", "path_b"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & F.coalesce(x["path_a"] == x["path_b"], F.lit(False))).cast("int")).alias("n"), (s["on"] & F.coalesce(x["path_a"] == x["path_b"], F.lit(False))).alias("on")), lambda s: s["n"])
     rows = rows.withColumn("shared", shared)

@@ -21,6 +21,33 @@ def test_paths_with_faults(spark):
     assert ancestry.paths(spark.createDataFrame([], "doc_id string, node_id string, parent_id string")).count() == 0
 
 
+def test_paths_over_pieces(spark, monkeypatch):
+    chain = [("d", f"c{i}", f"c{i - 1}" if i else None) for i in range(70)]
+    ring = [("d", f"r{i}", f"r{(i + 1) % 33}") for i in range(33)]
+    rows = [*chain, *ring, ("d", "t", "r7"), ("d", "o0", "gone"), *[("d", f"o{i}", f"o{i - 1}") for i in range(1, 12)], ("d", "c9", "z"), (None, "n", "c1"), (None, "m", "n"), ("e", "o5", "c5")]
+    dealt = spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string").repartition(7, "node_id")
+    for piece in (3, 1 << 16):
+        monkeypatch.setattr(ancestry, "PIECE", piece)
+        found = {(r.doc_id, r.node_id): (r.path, r.fault) for r in ancestry.paths(dealt).collect()}
+        want = {("d", f"c{i}"): ([f"c{j}" for j in range(i + 1)], None) for i in range(70)} | {("d", n): (None, "cycle") for _, n, _ in [*ring, ("d", "t", "")]}
+        want |= {("d", f"o{i}"): ([f"o{j}" for j in range(i + 1)], "orphan") for i in range(12)} | {(None, "n"): (["n"], "orphan"), (None, "m"): (["m"], "orphan"), ("e", "o5"): (["o5"], "orphan")}
+        assert found == want
+
+
+def test_paths_move_once_at_most(spark):
+    """Neither rings nor finished lines are carried through the rounds."""
+    rings = spark.range(2000).selectExpr("'d' doc_id", "concat('n', id) node_id", "concat('n', id - id % 3 + (id + 1) % 3) parent_id")
+    lines = spark.range(2000).selectExpr("'d' doc_id", "concat('c', id) node_id", "if(id % 20 = 0, null, concat('c', id - 1)) parent_id")
+    steps = []
+    kept = ancestry.stored
+    ancestry.stored = lambda df, label, *codec: steps.append((label, kept(df, label, *codec))) or steps[-1][1]
+    try:
+        assert ancestry.paths(rings.unionByName(lines)).count() == 4000
+    finally:
+        ancestry.stored = kept
+    assert sum(df.count() for label, df in steps if label != "paths-near") < 400
+
+
 def test_lowest_common_of_odd_pairs(spark):
     found = spark.createDataFrame([("d", n, p) for n, p in [("a", ["r", "a"]), ("b", ["r", "a", "b"]), ("c", ["r", "c"]), ("q", ["q"])]], "doc_id string, node_id string, path array<string>")
     pairs = spark.createDataFrame([("d", "b", "c"), ("d", "b", "a"), ("d", "b", "b"), ("d", "b", "q"), ("d", "b", "none")], "doc_id string, a string, b string")
