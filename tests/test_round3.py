@@ -107,6 +107,15 @@ def test_language_of_unseen_texts(spark):
     assert [r.language for r in odd] == [None] * 3
 
 
+def test_pairs_are_counted_where_texts_are_read(spark):
+    texts = spark.createDataFrame([("it", "Là, là!"), ("it", "x" * 5000), ("en", None), ("en", "K2 Ab")], "lang string, text string")
+    found = {(r.language, r.pair): r.n for r in language.pairs(texts.withColumnRenamed("lang", "language"), "text").collect()}
+    assert found == {("it", " l"): 2, ("it", "là"): 2, ("it", "à "): 2, ("it", " x"): 1, ("it", "xx"): 4999, ("it", "x "): 1, ("en", " k"): 1, ("en", "k "): 1, ("en", " a"): 1, ("en", "ab"): 1, ("en", "b "): 1}
+    docs = spark.createDataFrame([(1, "là"), (2, "ab"), (3, "")], "doc_id int, sample string").repartition(3)
+    plan = language.detected(docs, language.profiles(texts))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan  # a sample's pairs stay with it
+
+
 def test_ledger_states(spark):
     asked = ledger.addressed(spark.createDataFrame([("clean", "a"), ("clean", "a"), ("clean", "b"), ("clean", "c"), ("clean", "d")], "kind string, payload string"))
     at = {r.payload: r.address for r in asked.collect()}
