@@ -129,8 +129,11 @@ def turn_rates(turns: DataFrame, late: str = "10 minutes", width: str = "1 hour"
 
 
 def trace_sink(events: DataFrame, path: str, checkpoint: str):
-    """Writes trace events as JSON below one folder for each session, exactly once for each micro-batch."""
-    return events.writeStream.format("json").partitionBy("session").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Writes trace events as JSON below one folder for each session, exactly once for each micro-batch.
+
+    A session's events of a micro-batch are one file, by one task: the driver is told of as many files as there are sessions, however many tasks read them.
+    """
+    return events.repartition("session").writeStream.format("json").partitionBy("session").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def save_sessions(state: DataFrame, path: str) -> DataFrame:

@@ -70,6 +70,15 @@ def test_stream_resumes_orders_and_forgets(spark):
     assert got == {1: (3, True, 3), 4: (4, True, 3), 3: (4, True, 4), 5: (5, True, 5), 6: (1, False, 1), 2: (1, False, 0)}
 
 
+def test_a_session_is_one_file_of_traces(spark):
+    path, feed = scratch(spark, "traces-test"), scratch(spark, "feed-test")
+    events = spark.range(400).selectExpr("id % 5 session", "id", "'a' at", "'b' c", "'b' k", "'b' e").repartition(8, "id")
+    events.write.parquet(feed)
+    state.trace_sink(spark.readStream.schema(events.schema).parquet(feed), path, scratch(spark, "traces-test-checkpoint")).awaitTermination()
+    read = spark.read.schema("id long, session long").json(path)
+    assert read.select(F.input_file_name()).distinct().count() == 5 and read.distinct().count() == 400
+
+
 @pytest.mark.parametrize(
     "said, want",
     [
