@@ -41,48 +41,59 @@ def attempts_stream(turns: DataFrame) -> DataFrame:
 
 
 class Attempts(StatefulProcessor):
-    """A session's node: its failures so far, and the turns that wait for the watermark."""
+    """A session: the failures so far of its nodes, and the turns that wait for the watermark. A session's nodes are one key, as each key costs some calls of the state's server."""
 
     def __init__(self, idle: int):
         self.idle = idle  # milliseconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.failed = handle.getValueState("failed", "failed long, until long")
-        self.waiting = handle.getListState("waiting", "ts long, id long, ok boolean")
+        self.failed = handle.getValueState("failed", "nodes array<struct<node: long, failed: long, until: long>>")
+        self.waiting = handle.getListState("waiting", "ts long, id long, ok boolean, node long")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        self.failed.update((int(initialState["failed"].iloc[0]), 0))
+        first = {int(n): int(f) for n, f in zip(initialState["node"][::-1], initialState["failed"][::-1])}  # of a node told twice the first counts
+        self.failed.update(([(n, failed, 0) for n, failed in first.items()],))
+
+    def nodes(self) -> dict[int, tuple[int, int]]:
+        """Failures of each node, and when they are forgotten (0: never)."""
+        held = self.failed.get()
+        return {n: (failed, until) for n, failed, until in held[0]} if held else {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = 0
         for part in rows:
             ts = part["ts"].astype("datetime64[us]").astype("int64")
-            self.waiting.appendList([(int(t), int(i), bool(ok)) for t, i, ok in zip(ts, part["id"], part["ok"])])
+            self.waiting.appendList([(int(t), int(i), bool(ok), int(n)) for t, i, ok, n in zip(ts, part["id"], part["ok"], part["node"])])
             last = max(last, int(ts.max()))
         self.handle.registerTimer(last // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        failed, until = self.failed.get() if self.failed.exists() else (0, 0)
+        held = self.nodes()
+        nodes = dict(held)
         turns = sorted(self.waiting.get())
         due = [t for t in turns if t[0] < passed * 1000]
-        out = []
-        for ts, turn, ok in due:
+        out, last = [], 0
+        for ts, turn, ok, node in due:
+            failed, until = nodes.get(node, (0, 0))
             if until and ts // 1000 >= until:
                 failed = 0  # the state had been cleared by then
-            out.append((int(key[0]), int(key[1]), turn, failed + 1, failed >= 1, failed + (not ok)))
-            failed, until = failed + (not ok), ts // 1000 + self.idle
-        if len(due) < len(turns):
+            out.append((int(key[0]), node, turn, failed + 1, failed >= 1, failed + (not ok)))
+            nodes[node] = failed + (not ok), ts // 1000 + self.idle
+            last = max(last, nodes[node][1])
+        if due and len(due) < len(turns):
             self.waiting.put(turns[len(due) :])
-        else:
+        elif due:
             self.waiting.clear()
-        if due:
-            self.failed.update((failed, until))
-            self.handle.registerTimer(until)
-        elif until and until <= passed:
+        nodes = {n: (failed, until) for n, (failed, until) in nodes.items() if not until or until > passed}
+        if nodes and nodes != held:
+            self.failed.update(([(n, failed, until) for n, (failed, until) in nodes.items()],))
+        elif not nodes and held:
             self.failed.clear()
+        if last > passed:
+            self.handle.registerTimer(last)
         yield pd.DataFrame(out, columns=["session", "node", "id", "attempt", "second", "failed_attempts"])
 
     def close(self) -> None:
@@ -101,8 +112,8 @@ def resumed_attempts(turns: DataFrame, saved: DataFrame, late: str, idle_days: i
     The session needs the state store STORE.
     """
     rows = turns.withWatermark("ts", late).withColumn("ok", all_positive(F.col("c"), F.col("k"), F.col("e"))).select(F.col("session").cast("long").alias("session"), F.col("node").cast("long").alias("node"), "ts", "id", "ok")
-    first = saved.select("session", "node", "failed").groupBy("session", "node")
-    return rows.groupBy("session", "node").transformWithStateInPandas(Attempts(idle_days * 86_400_000), OUTPUT, "append", "eventTime", initialState=first)
+    first = saved.select("session", "node", "failed").groupBy("session")
+    return rows.groupBy("session").transformWithStateInPandas(Attempts(idle_days * 86_400_000), OUTPUT, "append", "eventTime", initialState=first)
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -70,6 +70,20 @@ def test_stream_resumes_orders_and_forgets(spark):
     assert got == {1: (3, True, 3), 4: (4, True, 3), 3: (4, True, 4), 5: (5, True, 5), 6: (1, False, 1), 2: (1, False, 0)}
 
 
+def test_nodes_of_a_session_share_a_key(spark):
+    kind = "session long, node long, ts timestamp, id long, c string, k string, e string"
+    path, no = scratch(spark, "nodes-stream"), ("assente", "errata", "riportata")
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    for rows in ([(1, 0, at(1), 1, *no), (1, 1, at(2), 2, *no), (1, 0, at(2), 3, *no)], [(1, 1, at(60), 4, *no)], [(9, 9, at(500), 9, *no)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    saved = spark.createDataFrame([(1, 0, 2), (1, 5, 7)], "session long, node long, failed long")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+    found = state.resumed_attempts(stream, saved, "2 hours", idle_days=2)
+    got = {(r.node, r.id): r.failed_attempts for r in state.drained(found, scratch(spark, "nodes-out"), scratch(spark, "nodes-checkpoint")).collect()}
+    # each node has its own count, and is forgotten by itself: node 1's second turn comes after two days
+    assert got == {(0, 1): 3, (0, 3): 4, (1, 2): 1, (1, 4): 1}
+
+
 def test_a_session_is_one_file_of_traces(spark):
     path, feed = scratch(spark, "traces-test"), scratch(spark, "feed-test")
     events = spark.range(400).selectExpr("id % 5 session", "id", "'a' at", "'b' c", "'b' k", "'b' e").repartition(8, "id")
