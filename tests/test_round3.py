@@ -2,12 +2,13 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scholia.operators import ancestry, cleaning, language, ledger, store
 from scholia.session import scratch
-from scholia.sources import decks
+from scholia.sources import decks, markdown
 from scholia.streaming import state
 
 
@@ -70,6 +71,18 @@ def test_stream_resumes_orders_and_forgets(spark):
     assert got == {1: (3, True, 3), 4: (4, True, 3), 3: (4, True, 4), 5: (5, True, 5), 6: (1, False, 1), 2: (1, False, 0)}
 
 
+def test_markdown_of_many_texts_is_told_in_pieces(spark):
+    docs = spark.range(300).selectExpr("id doc_id", "if(id % 50 = 49, null, repeat(concat('- ', id, ' word\\n'), 2000)) text").coalesce(1)
+    sizes = markdown.markdown_blocks(docs).mapInArrow(lambda parts: (pa.RecordBatch.from_pydict({"n": [p.num_rows]}) for p in parts), "n long").collect()
+    assert sum(r.n for r in sizes) == 294 * 2000
+    sent = []
+    frame = type("", (), {"schema": docs.schema, "select": lambda self, *c: self, "mapInArrow": lambda self, run, kind: run})()
+    texts = ["- a\n" * 100_000] * 6
+    for part in markdown.markdown_blocks(frame)(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts})])):
+        sent.append(part.num_rows)
+    assert len(sent) == 2 and sum(sent) == 600_000
+
+
 def test_nodes_of_a_session_share_a_key(spark):
     kind = "session long, node long, ts timestamp, id long, c string, k string, e string"
     path, no = scratch(spark, "nodes-stream"), ("assente", "errata", "riportata")
