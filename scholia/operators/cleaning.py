@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,27 +23,44 @@ def core(token: Column) -> Column:
     return F.lower(F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
+_AROUND, _STUTTER = re.compile(r"^[\W_]+|[\W_]+$"), re.compile(r"(?:([^\W\d_]{1,2})-)+(?=\1)", re.I)
+
+
+@lru_cache(maxsize=1 << 16)
+def spoken_token(token: str) -> tuple[str, int, str]:
+    """The token without its stutter, how many characters that took, and its core."""
+    stutter = _STUTTER.match(token)
+    skip = stutter.end() if stutter and stutter[0].replace("-", "").isalpha() else 0
+    return token[skip:], skip, _AROUND.sub("", token[skip:]).lower()
+
+
+def cleaned_text(text: str | None) -> tuple[str, list[int]]:
+    """A segment's text by the rules of `cleaned`, and where each word left stood."""
+    said, at = [], 0
+    for token in (text or "").split(" "):
+        if token:
+            rest, skip, own = spoken_token(token)
+            if own not in FILLERS:
+                said.append((rest, at + skip, own))
+        at += len(token) + 1
+    left = [(token, start) for (token, start, own), (_, _, after) in zip(said, [*said[1:], ("", 0, "")]) if not (own and after == own and (token.lower().endswith(own) or token.endswith(",") and len(own) <= SHORT))]
+    return " ".join(token for token, _ in left), [start for _, start in left]
+
+
 def cleaned(segments: DataFrame, keys: list[str]) -> DataFrame:
     """`keys`, text and starts (where each word left stood in the source) of `segments(keys, text)` by rule.
 
     Fillers go, of words repeated at once only the last stays (behind a comma only short ones go), and stutters (M-Markov) lose their start.
-    A segment's words are one group of the windows. Segments of which nothing is left have an empty text.
+    Each segment is cleaned where it is read, and nothing is shuffled. Segments of which nothing is left have an empty text.
     """
-    by = Window.partitionBy(*keys).orderBy("n")
-    rows = segments.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("n", "token"))
-    before = F.coalesce(F.sum(F.length("token") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("start", before.cast("long")).where("token <> ''")
-    stutter = F.length(F.regexp_extract("token", r"(?i)^((\p{L}{1,2})-)+(?=\2)", 0))
-    rows = rows.withColumn("skip", stutter).withColumn("token", F.expr("substring(token, skip + 1)")).withColumn("start", F.col("start") + F.col("skip"))
-    rows = rows.withColumn("core", core(F.col("token"))).where(~F.col("core").isin(FILLERS))
-    again = (F.col("core") != "") & (F.lead("core").over(by) == F.col("core"))
-    comma = F.col("token").endswith(",") & (F.length("core") <= SHORT)
-    plain = F.lower(F.col("token")).endswith(F.col("core"))
-    left = rows.withColumn("gone", F.coalesce(again & (plain | comma), F.lit(False))).where("not gone")
-    found = left.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "token", "start"))).alias("all"))
-    found = found.select(*keys, F.array_join(F.transform("all", lambda x: x["token"]), " ").alias("text"), F.transform("all", lambda x: x["start"]).alias("starts"))
-    whole = segments.select(*keys).join(found, keys, "left")
-    return whole.select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("starts", F.array().cast("array<bigint>")).alias("starts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+            found = [cleaned_text(text.as_py()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([t for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.list_(pa.int64()))], [*keys, "text", "starts"])
+
+    kinds = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in keys)
+    return segments.select(*keys, "text").mapInArrow(run, f"{kinds}, text string, starts array<bigint>")
 
 
 def accepted(source: DataFrame, answer: DataFrame) -> DataFrame:

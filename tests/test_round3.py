@@ -71,6 +71,14 @@ def test_stream_resumes_orders_and_forgets(spark):
     assert got == {1: (3, True, 3), 4: (4, True, 3), 3: (4, True, 4), 5: (5, True, 5), 6: (1, False, 1), 2: (1, False, 0)}
 
 
+def test_cleaning_shuffles_nothing(spark):
+    rows = spark.createDataFrame([(1, "a, a b"), (1, "Ab-Abc  ehm, è-È è-èra"), (None, "um")], "k int, text string")
+    found = cleaning.cleaned(rows, ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Window", "Join"))
+    assert [(r.k, r.text, r.starts) for r in found.collect()] == [(1, "a b", [3, 5]), (1, "Abc È èra", [3, 15, 19]), (None, "", [])]
+
+
 def test_markdown_of_many_texts_is_told_in_pieces(spark):
     docs = spark.range(300).selectExpr("id doc_id", "if(id % 50 = 49, null, repeat(concat('- ', id, ' word\\n'), 2000)) text").coalesce(1)
     sizes = markdown.markdown_blocks(docs).mapInArrow(lambda parts: (pa.RecordBatch.from_pydict({"n": [p.num_rows]}) for p in parts), "n long").collect()
