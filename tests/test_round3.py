@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.operators import ancestry, cleaning, language, ledger, store
+from scholia.operators import ancestry, cleaning, language, ledger, store, tree
 from scholia.session import scratch
 from scholia.sources import decks, markdown
 from scholia.streaming import state
@@ -71,6 +71,16 @@ def test_stream_resumes_orders_and_forgets(spark):
     assert got == {1: (3, True, 3), 4: (4, True, 3), 3: (4, True, 4), 5: (5, True, 5), 6: (1, False, 1), 2: (1, False, 0)}
 
 
+def test_collapsing_takes_few_paths_apart(spark):
+    kind = "doc_id string, node_id string, parent_id string, kind string, label string, text string, path array<string>"
+    a = [("a", "r", None, "root", None, None, ["r"]), ("a", "c", "r", "chapter", "c", None, ["r", "c"]), ("a", "s", "c", "section", "s", None, ["r", "c", "s"]), ("a", "p", "s", "paragraph", None, "x", ["r", "c", "s", "p"])]
+    b = [("b", "r", None, "root", None, None, ["r"]), ("b", "c", "r", "chapter", "c", None, ["r", "c"]), ("b", "p", "c", "paragraph", None, "x", ["r", "c", "p"])]
+    found = {(r.doc_id, r.node_id): (r.parent_id, r.level) for r in tree.collapsed(spark.createDataFrame(a + b, kind)).collect()}
+    assert found == {("a", "r"): (None, 0), ("a", "s"): ("r", 1), ("a", "p"): ("s", 2), ("b", "r"): (None, 0), ("b", "c"): ("r", 1), ("b", "p"): ("c", 2)}
+    plain = tree.shortened(spark.createDataFrame(b, kind))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plain and "Exchange" not in plain
+
+
 def test_cleaning_shuffles_nothing(spark):
     rows = spark.createDataFrame([(1, "a, a b"), (1, "Ab-Abc  ehm, è-È è-èra"), (None, "um")], "k int, text string")
     found = cleaning.cleaned(rows, ["k"])
