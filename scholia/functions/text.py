@@ -34,20 +34,18 @@ def decompositions() -> tuple[dict[str, str], dict[str, str]]:
 def unaccented(c: Column) -> Column:
     """Decomposed by compatibility (NFKD) and without combining marks, in the basic plane but for `KEPT`."""
     one, more = decompositions()
-    plain = F.translate(c, "".join(one), "".join(one.values()))
     gone = "".join(x for x, y in more.items() if not y)
     several = {x: y for x, y in more.items() if y}
-    plain = F.translate(plain, gone, "")
+    plain = F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, "".join(one) + gone, "".join(one.values())))
     table = F.str_to_map(F.lit("\x02".join(f"{x}\x01{y}" for x, y in several.items())), F.lit("\x02"), F.lit("\x01"))
     each = F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
-    # texts without such characters pass by
-    some = F.length(F.translate(plain, "".join(several), "")) < F.length(plain)
-    return F.when(some, F.array_join(each, "")).otherwise(plain)
+    # texts without such characters pass by; ASCII is told at once
+    return F.when(plain.rlike(f"[\\x{{80}}-\\x{{FFFF}}&&[{''.join(several)}]]"), F.array_join(each, "")).otherwise(plain)
 
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def truncate_ellipsis(c: Column, n: int) -> Column:
@@ -76,7 +74,7 @@ def node_title(label: Column, text: Column, kind: Column, n: int = 60) -> Column
 def normalize_text(c: Column) -> Column:
     """Lower case without accents and punctuation, single spaces."""
     plain = unaccented(F.lower(stripped(c)))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
 
 
 def normalize_token(c: Column) -> Column:
@@ -86,8 +84,7 @@ def normalize_token(c: Column) -> Column:
 
 def content_words(c: Column, least: int = 4) -> Column:
     """The set of words of at least four letters that aren't stop words."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    long = F.filter(words, lambda w: F.length(w) >= least)
+    long = F.regexp_extract_all(F.lower(c), F.lit(rf"[\p{{L}}\p{{N}}_]{{{least},}}"), F.lit(0))
     return F.array_except(F.array_distinct(long), F.array(*map(F.lit, [*STOPWORDS_IT, *STOPWORDS_EN])))
 
 

@@ -209,3 +209,18 @@ def test_evaluated_turns(spark):
     turns = turns.withColumn("options", F.array(F.lit("x"), F.lit("y"))).withColumn("correct", F.lit(0)).withColumn("expected", F.lit("cafe")).withColumn("fuzzy", F.lit(None).cast("double")).withColumn("k", F.lit("errata")).withColumn("e", F.lit("riportata"))
     got = {r.id: (r.correct, r.error, r.attempt, r.intervention, r.status) for r in evaluate.evaluated(turns).collect()}
     assert got == {1: (False, None, 1, "hint_plus_redirect", "pending"), 2: (True, None, 2, "advance", "passed"), 3: (None, None, 2, "full_redirect", "fragile"), 4: (None, "no valid judgment", None, None, None), 5: (True, None, 3, "advance", "passed"), 6: (None, "unknown assessment type", None, None, None)}
+
+
+def test_space_before_a_line_separator_stays(spark):
+    """As in SQL, the end is that of the whole text; words of four letters and more are found whole."""
+    import duckdb
+
+    rows = [(0, "a \u2028"), (1, " \t abcd xyz é\u0301lève_1 \n"), (2, ""), (3, None), (4, "\ufb01n\u2026 caf\u00e9 \u20ac ok")]
+    c = F.col("text")
+    found = spark.createDataFrame(rows, "id long, text string").select("id", T.stripped(c).alias("s"), T.normalize_token(c).alias("t"), F.array_sort(T.content_words(c)).alias("w"), T.normalize_text(c).alias("n"))
+    got = {r.id: r for r in found.collect()}
+    for i, t in rows:
+        (want,) = duckdb.execute(r"SELECT regexp_replace(?::VARCHAR, '^\s+|\s+$', '', 'g')", [t]).fetchone()
+        assert got[i].s == want
+    assert got[0].t == "a " and sorted(got[1].w) == ["abcd", "lève_1"] and got[3].w is None
+    assert got[4].n == "fin cafe ok"
