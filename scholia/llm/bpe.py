@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import table
 from .pieces import PATTERN, cut, default_vocabulary, vocabulary
 
-#: Pre-tokens, pieces between spaces and pairs that a worker remembers before it starts afresh (some 200 MB in all).
+#: Pre-tokens, pieces between spaces and pairs that a task remembers before it starts afresh (some 200 MB in all).
 WORDS, PIECES, PAIRS = 600_000, 250_000, 1_000_000
 
 
@@ -64,6 +64,11 @@ class Backtracking:
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Gives back what was remembered, so that a worker that waits for other stages' tasks doesn't hold it."""
+        self.compatible, self.words, self.known = {}, {}, {}
+        pa.default_memory_pool().release_unused()
+
     def fits(self, a: int, b: int) -> bool:
         """Whether merges leave the border between tokens a and b: undo the later of the two merges, again and again."""
         found = self.compatible.get((a, b))
@@ -213,16 +218,16 @@ def coder(path: str) -> Backtracking:
 def encode(docs: DataFrame, vocabulary_path: str | None = None, column: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the binary column `ids`: the tokens of `column` as little-endian unsigned 32-bit integers."""
     path = vocabulary_path or default_vocabulary()
-    return _mapped(docs, column, ids, T.BinaryType(), lambda values: [coder(path).encode(v) for v in values])
+    return _mapped(docs, column, ids, T.BinaryType(), lambda values: [coder(path).encode(v) for v in values], lambda: coder(path).forget())
 
 
 def decode(docs: DataFrame, vocabulary_path: str | None = None, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """`docs` with the string column `column`: the text of the tokens in `ids`; null ids give an empty text."""
     path = vocabulary_path or default_vocabulary()
-    return _mapped(docs, ids, column, T.StringType(), lambda values: [coder(path).decode(v or b"").decode() for v in values])
+    return _mapped(docs, ids, column, T.StringType(), lambda values: [coder(path).decode(v or b"").decode() for v in values], lambda: coder(path).forget())
 
 
-def _mapped(docs: DataFrame, source: str, target: str, kind: T.DataType, f) -> DataFrame:
+def _mapped(docs: DataFrame, source: str, target: str, kind: T.DataType, f, forget) -> DataFrame:
     docs = docs.drop(target)
     schema = T.StructType([*docs.schema.fields, T.StructField(target, kind)])
     arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
@@ -231,6 +236,7 @@ def _mapped(docs: DataFrame, source: str, target: str, kind: T.DataType, f) -> D
         for batch in batches:
             values = pa.array(f(batch.column(source).to_pylist()), arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, target])
+        forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -241,14 +247,17 @@ def digests(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column("text"):
-                ids = own.encode(text.as_py())
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                n, a, b = [], [], []
+                for text in batch.column("text"):
+                    ids = own.encode(text.as_py())
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    b.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            own.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
