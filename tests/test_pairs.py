@@ -1,15 +1,22 @@
 """Lowest common ancestors of pairs that come with their nodes: held to brute force, and few paths move."""
 
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
-from scholia.operators import ancestry
-from scholia.plans import queries_ancestry
-from scholia.session import stored
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from compare import TABLES, hold  # noqa: E402
+
+from scholia.operators import ancestry  # noqa: E402
+from scholia.plans import queries_ancestry, registry  # noqa: E402
+from scholia.session import stored  # noqa: E402
 
 KIND = "doc_id string, node_id string, parent_id string, other string, paired boolean"
 
@@ -107,6 +114,15 @@ def test_few_paths_are_made(spark, monkeypatch):
     assert steps["paths-near"].count() < 0.6 * pairs < 0.05 * nodes
 
 
+@pytest.mark.parametrize("keys", [[], [None, None, 3, 3, 5, 102, 102, 15, 112, 112, 112, 2, 13, 13, 0, 97, 12, 12, 12, 12, 12, 12, 12, 12, 12, 23, 34]])
+def test_odd_keys_agree_with_sql(spark, tmp_path, keys):
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    pq.write_table(pa.table({"l_orderkey": pa.array(keys, pa.int64())}), tmp_path / "lineitem.parquet")
+    hold(spark, registry.QUERIES["lowest_common_ancestors"], registry.ORACLE_SQL["lowest_common_ancestors"], str(tmp_path))
+
+
 def test_repeated_hashes_are_found_across_packs():
     own = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 5000))
     again = own[::97]
