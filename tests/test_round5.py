@@ -1,7 +1,8 @@
-"""Turns without a session or node, saved nodes told twice."""
+"""Turns without a session or node, saved nodes told twice, breadcrumbs."""
 
 import datetime as dt
 
+from scholia.operators import ancestry
 from scholia.session import scratch
 from scholia.streaming import state
 
@@ -33,3 +34,24 @@ def test_many_turns_of_a_session_wait_in_parts(spark):
     n = 2 * state.APPENDED + 7
     found = resumed(spark, [[(1, i % 2, at(0) + dt.timedelta(seconds=n - i), i, *NO) for i in range(n)], [(9, 9, at(500), -9, *OK)]], [(1, 0, 5)])
     assert {r[2]: r[5] for r in found} == {i: (n - 1 - i) // 2 + 1 + 5 * (i % 2 == 0) for i in range(n)}
+
+
+def test_breadcrumbs_of_odd_nodes(spark):
+    kind = "doc_id string, node_id string, parent_id string, kind string, label string"
+    rows = [("d", "r", None, "root", "R"), ("d", "c", "r", "chapter", " C "), ("d", "s", "c", None, "S"), ("d", "p", "s", "paragraph", "P"), ("d", "q", "s", "paragraph", None), ("d", "q", "s", "section", "b"), ("d", "q", "s", "section", "a"), ("d", "t", "q", "paragraph", "")]
+    rows += [("d", "o", "gone", "section", None), ("d", "x", "y", "section", "x"), ("d", "y", "x", "section", "y"), (None, "n", None, "section", "n"), (None, "m", "n", "section", "m"), ("e", "c", None, "root", "E"), ("d", None, "c", "section", "no id")]
+    nodes = spark.createDataFrame(rows, kind)
+    got = {(r.doc_id, r.node_id): (r.labels, r.section) for r in ancestry.breadcrumbs(nodes, ancestry.paths(nodes)).collect()}
+    # of nodes without a document nothing is known, one without a kind is passed over; the labels of a repeated id are all told
+    assert got == {("d", "r"): ([], None), ("d", "c"): (["C"], "c"), ("d", "s"): (["C"], "c"), ("d", "p"): (["C", "P"], "c"), ("d", "q"): (["C", "a", "b"], "q"), ("d", "t"): (["C", "a", "b"], "q"), ("d", "o"): ([], "o"), (None, "n"): ([], None), (None, "m"): ([], None), ("e", "c"): ([], None)}
+
+
+def test_siblings_share_their_parents_crumbs(spark):
+    """Paths are taken apart once for each parent, not for each leaf."""
+    kind = "doc_id string, node_id string, parent_id string, kind string, label string"
+    inner = [("d", "r", None, "root", "R"), ("d", "c", "r", "chapter", "C"), *[("d", f"s{i}", "c", "section", f"S{i}") for i in range(10)]]
+    nodes = spark.createDataFrame([*inner, *[("d", f"p{i}", f"s{i % 10}", "paragraph", None) for i in range(1000)]], kind)
+    found = ancestry.breadcrumbs(nodes, ancestry.paths(nodes))
+    assert {r.node_id: (r.labels, r.section) for r in found.collect()}["p7"] == (["C", "S7"], "s7")
+    _, _, below = found._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert "Aggregate [doc_id" in below.partition("Join ")[0]
