@@ -71,5 +71,4 @@ def trace_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).select("session", "id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "c", "k", "e")
     path = scratch(spark, "traces")
     S.trace_sink(_feed(rows, "events"), path, scratch(spark, "traces-checkpoint")).awaitTermination()
-    read = spark.read.schema("id long, at string, c string, k string, e string, session long").json(path)
-    return read.groupBy("session").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.max("at").alias("at"))
+    return S.trace_totals(spark, path)

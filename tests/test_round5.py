@@ -1,9 +1,9 @@
-"""Turns without a session or node, saved nodes told twice, breadcrumbs."""
+"""Turns without a session or node, saved nodes told twice, breadcrumbs, traces."""
 
 import datetime as dt
 
 from scholia.operators import ancestry
-from scholia.session import scratch
+from scholia.session import scratch, setting
 from scholia.streaming import state
 
 TURNS = "session long, node long, ts timestamp, id long, c string, k string, e string"
@@ -55,3 +55,16 @@ def test_siblings_share_their_parents_crumbs(spark):
     assert {r.node_id: (r.labels, r.section) for r in found.collect()}["p7"] == (["C", "S7"], "s7")
     _, _, below = found._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
     assert "Aggregate [doc_id" in below.partition("Join ")[0]
+
+
+def test_a_task_reads_many_traces(spark, monkeypatch):
+    path, feed, key = scratch(spark, "totals-test"), scratch(spark, "totals-feed"), "spark.sql.files.openCostInBytes"
+    spark.range(600).selectExpr("if(id < 2, null, id % 200) session", "id", "if(id % 7 = 0, null, concat('2024-', id)) at", "'b' c", "'b' k", "'b' e").coalesce(1).write.parquet(feed)
+    state.trace_sink(spark.readStream.schema("session long, id long, at string, c string, k string, e string").parquet(feed), path, scratch(spark, "totals-checkpoint")).awaitTermination()
+    tasks, kept, before = [], state.stored, spark.conf.get(key)
+    monkeypatch.setattr(state, "stored", lambda df, label: tasks.append(spark.read.schema("id long").json(path).rdd.getNumPartitions()) or kept(df, label))
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "16m"):
+        usual = spark.read.schema("id long").json(path).rdd.getNumPartitions()
+        found = {r.session: (r.n, r.first, r.last, r["at"]) for r in state.trace_totals(spark, path).collect()}
+    assert len(found) == 201 and found[None] == (2, 0, 1, "2024-1") and found[7] == (3, 7, 407, "2024-407") and found[0] == (2, 200, 400, "2024-400")
+    assert spark.conf.get(key) == before and tasks[0] * 4 < usual
