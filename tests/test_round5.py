@@ -1,6 +1,9 @@
 """Turns without a session or node, saved nodes told twice, breadcrumbs, traces."""
 
 import datetime as dt
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 
 from scholia.operators import ancestry
 from scholia.session import scratch, setting
@@ -68,3 +71,14 @@ def test_a_task_reads_many_traces(spark, monkeypatch):
         found = {r.session: (r.n, r.first, r.last, r["at"]) for r in state.trace_totals(spark, path).collect()}
     assert len(found) == 201 and found[None] == (2, 0, 1, "2024-1") and found[7] == (3, 7, 407, "2024-407") and found[0] == (2, 200, 400, "2024-400")
     assert spark.conf.get(key) == before and tasks[0] * 4 < usual
+
+
+def test_waiting_turns_are_few_elements():
+    """An element of the state is parsed with its schema, which took longer than the turn in it."""
+    kept, n = [], state.APPENDED + 5
+    one = state.Attempts(1)
+    one.waiting, one.handle = SimpleNamespace(appendValue=kept.append), SimpleNamespace(registerTimer=kept.append)
+    rows = (Row(session=1, node=i % 3, ts=state.EPOCH + i * state.MICRO if i else None, id=i, ok=None) for i in range(n))
+    assert list(one.handleInputRows((1,), rows, None)) == []
+    assert [len(part[1]) for part in kept[:-1]] == [state.APPENDED, 5] and kept[-1] == n // 1000 + 1
+    assert [x[:2] for x in kept[0]] == [[state.FIRST, 1], [0, 1], [False, False], [0, 1]]
